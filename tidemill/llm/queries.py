@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import collapse, splits, survivor
+from . import collapse, leaks, splits, survivor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,6 +60,25 @@ SELECT dup_group FROM m WHERE dup_group IS NOT NULL GROUP BY dup_group
 HAVING count(DISTINCT s) > 1 OR count(*) FILTER (WHERE is_clean_label = 0 AND s IN ('val','test')) > 0"""
 
 
+# -- 2 overlaps ---------------------------------------------------------------
+
+
+def _proper(spark, d, df):
+    """``df`` with its source in one spelling."""
+    return df.withColumn("source", F.lower(F.trim("source")))
+
+
+@query
+def p2_found(spark, d):
+    return leaks.overlap_pairs(*leaks.overlaps(table(spark, d, "messages")))
+
+
+@query
+def p2_report(spark, d):
+    """Leaked evaluation rows and pairs per split and source."""
+    return leaks.overlap_report(*leaks.overlaps(_proper(spark, d, table(spark, d, "messages")), keep=("source",)))
+
+
 # -- 3 collapse ---------------------------------------------------------------
 
 
