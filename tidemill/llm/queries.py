@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import collapse, leaks, splits, survivor
+from . import collapse, leaks, lookalike, splits, survivor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -135,3 +135,18 @@ u AS (SELECT DISTINCT ON (dup_group) dup_group, proper FROM v WHERE proper IS NO
 g AS (SELECT dup_group, CAST(coalesce(min(spam) <> max(spam), false) AS INT) label_conflict FROM v WHERE dup_group IS NOT NULL GROUP BY dup_group HAVING count(DISTINCT member_id) > 1)
 SELECT g.dup_group, coalesce(spam, -1) spam_label, coalesce(smish, -1) smishing_label, proper AS source, label_conflict
 FROM g LEFT JOIN s USING (dup_group) LEFT JOIN t USING (dup_group) LEFT JOIN u USING (dup_group)"""
+
+
+# -- 7 look-alikes ------------------------------------------------------------
+
+
+@query
+def p7_found(spark, d):
+    return lookalike.alike(table(spark, d, "messages"))
+
+
+@query
+def p7_forms(spark, d):
+    """Every message's text in its one form."""
+    once = table(spark, d, "messages").where("id is not null").select("id", "text").dropDuplicates(["id"])
+    return lookalike.one_form(once).select("id", "form")
