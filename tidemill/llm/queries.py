@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import collapse, leaks, lookalike, splits, survivor
+from . import collapse, leaks, lookalike, splits, survivor, tiling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -150,3 +150,16 @@ def p7_forms(spark, d):
     """Every message's text in its one form."""
     once = table(spark, d, "messages").where("id is not null").select("id", "text").dropDuplicates(["id"])
     return lookalike.one_form(once).select("id", "form")
+
+
+# -- 8 leaked evaluation texts ------------------------------------------------
+
+
+@query
+def p8_found(spark, d):
+    return tiling.contained(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+@query
+def p8_leaked_items(spark, d):
+    return tiling.leaked_items(tiling.contained(table(spark, d, "documents"), table(spark, d, "eval_items")))
