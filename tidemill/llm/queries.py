@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import collapse, leaks, lookalike, splits, survivor, tiling
+from . import canonical, collapse, leaks, lookalike, splits, survivor, tiling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -163,3 +163,21 @@ def p8_found(spark, d):
 @query
 def p8_leaked_items(spark, d):
     return tiling.leaked_items(tiling.contained(table(spark, d, "documents"), table(spark, d, "eval_items")))
+
+
+# -- 6 canonical values -------------------------------------------------------
+
+
+def _p6(spark, d):
+    return canonical.mapped(table(spark, d, "smishtank_reports"), table(spark, d, "canon_terms"))
+
+
+@query
+def p6_found(spark, d):
+    return _p6(spark, d).select("report_id", "field_name", "term_id").distinct()
+
+
+@query
+def p6_unmatched(spark, d):
+    """Typed values that mean no entry, with the number of reports."""
+    return _p6(spark, d).where("term_id = 0").groupBy("field_name", "value").agg(F.countDistinct("report_id").alias("reports"))
