@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import canonical, collapse, leaks, lookalike, splits, survivor, tiling
+from . import canonical, collapse, leaks, lookalike, sentences, splits, survivor, tiling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -181,3 +181,17 @@ def p6_found(spark, d):
 def p6_unmatched(spark, d):
     """Typed values that mean no entry, with the number of reports."""
     return _p6(spark, d).where("term_id = 0").groupBy("field_name", "value").agg(F.countDistinct("report_id").alias("reports"))
+
+
+# -- 10 sentences -------------------------------------------------------------
+
+
+@query
+def p10_found(spark, d):
+    return sentences.sentences(table(spark, d, "documents"), with_text=False).select("doc_id", F.col("end_char").cast("long").alias("end_char"))
+
+
+@query
+def p10_sentences(spark, d):
+    """Every sentence with its text."""
+    return sentences.sentences(table(spark, d, "documents"))
