@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import canonical, collapse, leaks, lookalike, sentences, splits, survivor, tiling
+from . import canonical, collapse, leaks, lookalike, personal, sentences, splits, survivor, tiling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -195,3 +195,27 @@ def p10_found(spark, d):
 def p10_sentences(spark, d):
     """Every sentence with its text."""
     return sentences.sentences(table(spark, d, "documents"))
+
+
+# -- 5 personal information ---------------------------------------------------
+
+
+def _p5(spark, d):
+    return personal.scan(table(spark, d, "messages"))
+
+
+@query
+def p5_found(spark, d):
+    return personal.listed(_p5(spark, d))
+
+
+@query
+def p5_redacted(spark, d):
+    """Text and sender of every message with typed placeholders."""
+    return _p5(spark, d).select("id", "field_name", "redacted")
+
+
+@query
+def p5_counts(spark, d):
+    """Items found per field and kind."""
+    return p5_found(spark, d).groupBy("field_name", "kind").agg(F.count(F.lit(1)).alias("n"))
