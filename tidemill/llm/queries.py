@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import canonical, collapse, leaks, lookalike, personal, sentences, splits, survivor, tiling
+from . import canonical, collapse, leaks, lookalike, mixing, personal, sentences, splits, survivor, tiling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -183,6 +183,21 @@ def p6_unmatched(spark, d):
     return _p6(spark, d).where("term_id = 0").groupBy("field_name", "value").agg(F.countDistinct("report_id").alias("reports"))
 
 
+# -- 9 mixtures ---------------------------------------------------------------
+
+
+@query
+def p9_mixture(spark, d):
+    """The mixed corpus: token blocks by shard and position."""
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@query
+def p9_shares(spark, d):
+    """Target and reached share of every source."""
+    return mixing.report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 # -- 10 sentences -------------------------------------------------------------
 
 
