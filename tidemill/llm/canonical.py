@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Above this many entries the trie no longer belongs into every task; the operator refuses.
 MAX_TERMS = 200_000
+#: No value with more letters can be within the allowed distance of an entry (entries are names).
+LONGEST = 400
 #: Signs typed for letters, filler words, and usual abbreviations.
 TYPED_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 BEFORE = ("the", "some", "maybe", "perhaps", "possibly", "probably", "type", "brand", "category", "kind", "from")
@@ -82,7 +84,10 @@ def _word(w: str) -> dict:
 def nearest(root: dict, value: str) -> tuple[int, int]:
     """The entry meant and its distance; (0, -1) if none is within the allowed distance."""
     best = (99, 0)
-    for q, spent in readings(fold(value)).items():
+    words = fold(value)
+    if sum(map(len, words)) > LONGEST:
+        return 0, -1
+    for q, spent in readings(words).items():
         k = allowed(len(q)) - (spent > 1)
         for i, d in search(root, q, k).items():
             best = min(best, (d + spent, i))
@@ -112,6 +117,7 @@ def aliases(words: list[str], alone: bool) -> set[str]:
 def build_trie(terms: list[tuple[int, str]], single_words: bool) -> dict:
     """Nodes are dicts by letter; ``""`` holds the entries that end there."""
     folded = [(i, [w for w in fold(n) if w != "of"]) for i, n in terms]
+    names = {tuple(w) for _, w in folded}
     first: dict[str, set[int]] = {}
     for i, w in folded:
         if w:
@@ -120,16 +126,23 @@ def build_trie(terms: list[tuple[int, str]], single_words: bool) -> dict:
     for i, w in folded:
         if not w:
             continue
-        for a in aliases(w, single_words and len(w) > 1 and len(first[w[0]]) == 1):
-            node = root
-            for c in a:
-                node = node.setdefault(c, {})
-            ends = node.setdefault("", [])
-            if i not in ends:
-                ends.append(i)
+        several = single_words and len(first[w[0]]) > 1
+        for a in aliases(w, single_words and len(w) > 1 and not several):
+            _put(root, a, i)
+        if several and (w[0],) not in names:  # the distinctive word alone means no single entry
+            _put(root, w[0], 0)
     return root
 
 
+def _put(root: dict, path: str, entry: int) -> None:
+    node = root
+    for c in path:
+        node = node.setdefault(c, {})
+    ends = node.setdefault("", [])
+    if entry not in ends:
+        ends.append(entry)
+
+
 def allowed(n: int) -> int:
     """Edits allowed for a value of n letters."""
     return 0 if n < 4 else 1 if n < 7 else 2 if n < 15 else 3

@@ -29,6 +29,8 @@ from .splits import read_split
 SHARE = 0.2
 #: Cells of the frequency sketch that orders bits; its size does not depend on the data.
 CELLS = 1 << 16
+#: Words of a text beyond which single bits are blocks.
+SINGLES = 200
 #: Links, amounts with a currency, and the currencies' words.
 LINK = r"(?:h(?:tt|xx)ps?://|www\.)\S+|[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)*\.[\p{L}]{2,}/\S*|[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)*\.(?:com|net|org|test|example|invalid|info|biz|io|co)(?![\p{L}\p{N}])"
 CURRENCY = r"(?:usd|eur|gbp|inr|aud|cad|dollars?|euros?|pounds?)"
@@ -64,28 +66,44 @@ def frequency_sketch(codes: DataFrame) -> bytearray:
 
 
 def blocks(codes: DataFrame, sketch: bytearray, share: float = SHARE) -> DataFrame:
-    """``(block, cls, n)``: every pair of the first ``k + 2`` set bits in the permuted order."""
+    """``(block, cls, n)``: every pair of the first ``k + 2`` set bits in the permuted order.
+
+    Of texts over ``SINGLES`` words the first ``k + 1`` bits alone are blocks, so blocks grow with the
+    length and not with its square.  Texts up to a quarter longer than that emit both: lengths of
+    close texts differ by no more, so two close texts always share one kind.
+    """
     rank = lambda b: F.substring(F.lit(sketch), F.pmod(b, F.lit(CELLS)).cast("int") + 1, F.lit(1))
     first = F.slice(F.array_sort(F.transform("code", lambda b: F.struct(rank(b).alias("r"), b.alias("b")))), 1, (F.floor(F.col("n") * share) + 2).cast("int"))
-    head = codes.where("n >= 5").select("cls", "n", F.array_sort(F.transform(first, lambda x: x["b"])).alias("p"))
-    pairs = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.xxhash64(x, y))))
-    return head.select("cls", "n", F.explode(pairs).alias("block"))
+    head = codes.where("n >= 5").select("cls", "n", F.transform(first, lambda x: x["b"]).alias("p"))
+    sorted_ = F.array_sort(F.col("p"))
+    pairs = F.flatten(F.transform(sorted_, lambda x, i: F.transform(F.slice(sorted_, i + 2, F.size("p")), lambda y: F.xxhash64(x, y))))
+    single = F.transform(F.slice("p", 1, F.size("p") - 1), lambda x: F.xxhash64(F.lit("single"), x))
+    none = F.array().cast("array<bigint>")
+    both = F.concat(F.when(F.col("n") * (1 - share) <= SINGLES, pairs).otherwise(none), F.when(F.col("n") > SINGLES, single).otherwise(none))
+    return head.select("cls", "n", F.explode(both).alias("block"))
 
 
 def _within(a: list[str], b: list[str], k: int) -> bool:
-    """Whether the word edit distance is at most k; only the band around the diagonal is filled."""
-    if abs(len(a) - len(b)) > k:
+    """Whether the word edit distance is at most k: furthest row per diagonal and number of edits, so
+    the work grows with the distance found, not with the length times k."""
+    n, m = len(a), len(b)
+    if abs(n - m) > k:
         return False
-    far = k + 1
-    row = {j: j for j in range(min(len(b), k) + 1)}
-    for i, x in enumerate(a, 1):
-        new = {}
-        for j in range(max(0, i - k), min(len(b), i + k) + 1):
-            new[j] = i if j == 0 else min(row.get(j, far) + 1, new.get(j - 1, far) + 1, row.get(j - 1, far) + (x != b[j - 1]))
-        row = new
-        if min(row.values()) > k:
-            return False
-    return row.get(len(b), far) <= k
+    reach: dict[int, int] = {}
+    for e in range(k + 1):
+        new: dict[int, int] = {}
+        for d in range(-e, e + 1):  # diagonal: place in b minus place in a
+            i = 0 if e == 0 else max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1)
+            i = min(i, n, m - d)
+            if i < 0 or i + d < 0:
+                continue
+            while i < n and i + d < m and a[i] == b[i + d]:
+                i += 1
+            if i == n and i + d == m:
+                return True
+            new[d] = i
+        reach = new
+    return False
 
 
 def close(a: Column, b: Column, share: float = SHARE) -> Column:

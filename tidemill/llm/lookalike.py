@@ -104,7 +104,7 @@ def one_form(rows: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     plain = F.coalesce(~F.col("t").rlike("[^\\x00-\\x7f]"), F.lit(True))
     easy = rows.where(plain).select("k", "t", _blanks(F.col("t")).alias("form"))
     # joiners and selectors inside emoji are visible: they are kept out of the mapping as private letters
-    kept = F.regexp_replace(F.regexp_replace("t", f"(?<={_EMOJI}){JOINER}(?={_EMOJI})", HELD[0]), f"(?<={_EMOJI}){SELECTOR}", HELD[1])
+    kept = F.regexp_replace(F.regexp_replace(F.translate("t", HELD, "\uf8fe\uf8ff"), f"({_EMOJI}){JOINER}(?={_EMOJI})", f"$1{HELD[0]}"), f"({_EMOJI}){SELECTOR}", f"$1{HELD[1]}")
     points = rows.where(~plain).select("k", F.posexplode(F.split(kept, "")).alias("pos", "ch"))
     joined = points.join(F.broadcast(mapping_table(rows.sparkSession)), "ch", "left")  # bounded by Unicode
     put = F.coalesce("to", F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("k"))))

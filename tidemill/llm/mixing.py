@@ -7,7 +7,7 @@ are a multinomial draw conditioned on those quotas, so totals are met exactly.
 its source is mapped through a pseudorandom permutation of the block indexes, one per pass, so every
 block is used at most once per pass; blocks are joined by index.
 
-Defined results: null texts have no tokens; a null share is 0, a null ``max_repeats`` 1; a listed
+Defined results: null texts have no tokens; a null, negative or non-finite share is 0, a null ``max_repeats`` 1; a listed
 source without documents and an unlisted source contribute nothing and are reported; a source listed
 twice counts with its first share by name order; empty tables give an empty mixture.
 """
@@ -15,6 +15,7 @@ twice counts with its first share by name order; empty tables give an empty mixt
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -128,7 +129,7 @@ def mixture(docs: DataFrame, targets: DataFrame, size: int = BLOCK, shard: int =
     rows = targets.where("source is not null").groupBy("source").agg(F.min(F.struct(F.coalesce("target_share", F.lit(0.0)).alias("s"), F.coalesce("max_repeats", F.lit(1)).alias("m"))).alias("x")).select("source", "x.s", "x.m").limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} listed sources")
-    wanted = [(r[0], float(r[1]), int(r[2])) for r in rows]
+    wanted = [(r[0], max(0.0, float(r[1])) if math.isfinite(r[1]) else 0.0, max(0, int(r[2]))) for r in rows]
     names = spark.createDataFrame([(s,) for s, _, _ in wanted] or [("",)], "source string")
     tokens = stage(tokenized(docs.join(F.broadcast(names), "source", "left_semi"), tokenizer), "tokens")  # at most MAX_SOURCES names
     per = tokens.groupBy("source").agg(F.sum(F.size("ids").cast("long")).alias("t")).collect()  # listed sources only

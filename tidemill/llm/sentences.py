@@ -72,7 +72,7 @@ THAI = r"[\x{E01}-\x{E3A}\x{E40}-\x{E4E}]"
 
 def marked(text: Column) -> Column:
     """The text with masked dots and a mark behind each sentence; unmarked, its length is unchanged."""
-    clean = F.translate(text, MASK + BREAK, "")
+    clean = F.translate(text, MASK + BREAK, "\ufffd\ufffd")
     masked = reduce(lambda c, m: F.regexp_replace(c, F.lit(m[0]), F.lit(m[1])), MASKS, clean)
     ends = F.regexp_replace(masked, ENDS, f"$1$2$3{BREAK}")
     thai = F.regexp_replace(ends, rf"(?<={THAI})[{SP}]+(?={THAI})", f"$0{BREAK}")

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LAST = 2**31 - 1
+#: The columns of members that are read; others may have any name.
+COLUMNS = ("member_id", "dup_group", "source", "text", "spam_label", "smishing_label", "sender", "brand", "loaded_at")
 
 
 @dataclass(frozen=True)
@@ -40,7 +42,7 @@ def ranked(members: DataFrame, rank: DataFrame) -> DataFrame:
     """Members once each, with the priorities of their source and its proper spelling."""
     r = rank.select(_key(F.col("source")).alias("_k"), F.col("source").alias("source_name"), "label_priority", "field_priority", "leaky")
     r = r.groupBy("_k").agg(F.min(F.struct("label_priority", "field_priority", "source_name", "leaky")).alias("_r")).select("_k", "_r.*")
-    once = members.where(F.col("dup_group").isNotNull() & F.col("member_id").isNotNull()).withColumn("_k", _key(F.col("source")))
+    once = members.where(F.col("dup_group").isNotNull() & F.col("member_id").isNotNull()).select(*COLUMNS, _key(F.col("source")).alias("_k"))
     out = once.join(r, "_k", "left")
     return out.withColumn("label_priority", F.coalesce("label_priority", F.lit(LAST))).withColumn("field_priority", F.coalesce("field_priority", F.lit(LAST)))
 
@@ -77,6 +79,6 @@ def tied(members: DataFrame, group: str, a: Column, b: Column, priority: Column,
     bound = of_b.groupBy("g").agg(F.min("pb").alias("least_b"))
     # incumbent: the branch of the most trusted a with its best attested b
     incumbent = whole.groupBy("g").agg(F.min(F.struct("pa", "total")).alias("i")).select("g", F.col("i.total").alias("incumbent"))
-    alive = of_a.join(bound, "g").join(incumbent, "g").where(F.col("pa") + F.col("least_b") <= F.col("incumbent")).select("g", "a")
+    alive = of_a.join(bound, "g").join(incumbent, "g").where(F.col("pa").cast("long") + F.col("least_b") <= F.col("incumbent")).select("g", "a")
     best = whole.join(alive, ["g", "a"]).groupBy("g").agg(F.min(F.struct("total", "pa", "ma", "b", "a")).alias("w"))
     return best.select(F.col("g").alias(group), F.col("w.a").alias("a"), F.col("w.b").alias("b"), F.col("w.total").alias("total"))
