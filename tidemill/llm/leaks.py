@@ -44,10 +44,13 @@ def counted_words(text: Column) -> Column:
     return F.filter(F.split(low, r"[^\p{L}\p{M}\p{N}]+"), lambda w: (F.length(w) > 0) & ~w.rlike(r"\p{N}"))
 
 
-def bits(words: Column) -> Column:
-    """The set bits of the code: one 64-bit position per word occurrence, repeats numbered."""
-    hashed = F.array_sort(F.transform(words, lambda w: F.xxhash64(w)))
-    return F.transform(hashed, lambda h, i: F.xxhash64(h, i - F.array_position(hashed, h)))
+def with_bits(df: DataFrame) -> DataFrame:
+    """``code``: the set bits of ``words``, one 64-bit position per word occurrence, repeats numbered.
+
+    The sorted hashes are a column of their own: inside a lambda an expression is computed per element.
+    """
+    df = df.withColumn("_h", F.array_sort(F.transform("words", lambda w: F.xxhash64(w))))
+    return df.withColumn("code", F.transform("_h", lambda h, i: F.xxhash64(h, i - F.array_position("_h", h)))).drop("_h")
 
 
 def fold(code: Column) -> list[Column]:
@@ -74,9 +77,8 @@ def blocks(codes: DataFrame, sketch: bytearray, share: float = SHARE) -> DataFra
     """
     rank = lambda b: F.substring(F.lit(sketch), F.pmod(b, F.lit(CELLS)).cast("int") + 1, F.lit(1))
     first = F.slice(F.array_sort(F.transform("code", lambda b: F.struct(rank(b).alias("r"), b.alias("b")))), 1, (F.floor(F.col("n") * share) + 2).cast("int"))
-    head = codes.where("n >= 5").select("cls", "n", F.transform(first, lambda x: x["b"]).alias("p"))
-    sorted_ = F.array_sort(F.col("p"))
-    pairs = F.flatten(F.transform(sorted_, lambda x, i: F.transform(F.slice(sorted_, i + 2, F.size("p")), lambda y: F.xxhash64(x, y))))
+    head = codes.where("n >= 5").select("cls", "n", F.transform(first, lambda x: x["b"]).alias("p")).withColumn("q", F.array_sort("p"))
+    pairs = F.flatten(F.transform("q", lambda x, i: F.transform(F.slice("q", i + 2, F.size("q")), lambda y: F.xxhash64(x, y))))
     single = F.transform(F.slice("p", 1, F.size("p") - 1), lambda x: F.xxhash64(F.lit("single"), x))
     none = F.array().cast("array<bigint>")
     both = F.concat(F.when(F.col("n") * (1 - share) <= SINGLES, pairs).otherwise(none), F.when(F.col("n") > SINGLES, single).otherwise(none))
@@ -125,7 +127,7 @@ def overlaps(rows: DataFrame, id_col: str = "id", text_col: str = "text", split_
     members = stage(members.withColumn("cls", F.unhex(F.md5(F.array_join("words", " ")))), "members")
     eval_ = F.col("split") != "train"
     cls = members.groupBy("cls").agg(F.max(eval_.cast("int")).alias("e"), F.max((~eval_).cast("int")).alias("t"), F.first("words").alias("words"))
-    cls = stage(cls.select("cls", "e", "t", "words", F.size("words").alias("n"), bits(F.col("words")).alias("code")), "classes")
+    cls = stage(with_bits(cls.select("cls", "e", "t", "words", F.size("words").alias("n"))), "classes")
     sketch = frequency_sketch(cls)
     e = blocks(cls.where("e = 1"), sketch, share).select("block", F.col("cls").alias("cls_e"), F.col("n").alias("n_e"))
     t = blocks(cls.where("t = 1"), sketch, share).select("block", F.col("cls").alias("cls_t"), F.col("n").alias("n_t"))
