@@ -49,16 +49,19 @@ def units(text: Column, kind: Kind) -> Column:
     return F.trim(run)
 
 
-def _list(joined: Column, kind: Kind) -> Column:
-    return F.split(joined, " " if kind.name == "word" else "")
+def with_seeds(df: DataFrame, side: str, every) -> DataFrame:
+    """One row per gram that starts at each ``every(kind)``-th unit: ``(<side>_id, seed)``.
 
+    The units are columns of their own: inside a lambda an expression is computed per element.
+    """
+    lists = df.select(f"{side}_id", *[F.split(f"{side}_{k.name}", " " if k is WORD else "").alias(k.name) for k in KINDS])
 
-def seeds(joined: Column, kind: Kind, every: int) -> Column:
-    """Hashes of the grams that start at each ``every``-th unit."""
-    u = _list(joined, kind)
-    n = F.size(u) - kind.gram
-    at = F.when(n >= 0, F.sequence(F.lit(0), n, F.lit(every))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.lit(kind.name), F.array_join(F.slice(u, i + 1, kind.gram), " "))))
+    def hashes(kind: Kind) -> Column:
+        n = F.size(kind.name) - kind.gram
+        at = F.when(n >= 0, F.sequence(F.lit(0), n, F.lit(every(kind)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.xxhash64(F.lit(kind.name), F.array_join(F.slice(kind.name, i + 1, kind.gram), " ")))
+
+    return lists.select(f"{side}_id", F.explode(F.concat(*[hashes(k) for k in KINDS])).alias("seed"))
 
 
 def tiles(doc: list, item: list, least: int) -> list[tuple[int, int, int]]:
@@ -126,9 +129,8 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id
     cols = lambda k, p: [F.col(k).alias(f"{p}_id"), *[units(F.col(text), kind).alias(f"{p}_{kind.name}") for kind in KINDS]]
     d = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(*cols(doc_id, "doc"))
     i = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).dropDuplicates([item_id]).select(*cols(item_id, "item"))
-    both = lambda p, every: F.concat(*[seeds(F.col(f"{p}_{k.name}"), k, every(k)) for k in KINDS])
-    of_items = i.select("item_id", F.explode(both("item", lambda k: 1)).alias("seed")).distinct()
-    of_docs = d.select("doc_id", F.explode(both("doc", lambda k: k.least - k.gram + 1)).alias("seed"))
+    of_items = with_seeds(i, "item", lambda k: 1).distinct()
+    of_docs = with_seeds(d, "doc", lambda k: k.least - k.gram + 1)
     if of_items.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
         of_items = F.broadcast(of_items)
     pairs = of_docs.join(of_items, "seed").select("doc_id", "item_id").distinct()
