@@ -32,7 +32,7 @@ CELLS = 1 << 16
 #: Words of a text beyond which single bits are blocks.
 SINGLES = 200
 #: Links, amounts with a currency, and the currencies' words.
-LINK = r"(?:h(?:tt|xx)ps?://|www\.)\S+|[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)*\.[\p{L}]{2,}/\S*|[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)*\.(?:com|net|org|test|example|invalid|info|biz|io|co)(?![\p{L}\p{N}])"
+LINK = r"(?:h(?:tt|xx)ps?://|www\.)\S+|(?<![\p{L}\p{N}_-])(?=[\p{L}\p{N}_-]++\.[\p{L}\p{N}_-])[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)*\.(?:\p{L}{2,}/\S*|(?:com|net|org|test|example|invalid|info|biz|io|co)(?![\p{L}\p{N}]))"
 CURRENCY = r"(?:usd|eur|gbp|inr|aud|cad|dollars?|euros?|pounds?)"
 
 
@@ -69,7 +69,7 @@ def frequency_sketch(codes: DataFrame) -> bytearray:
 
 
 def blocks(codes: DataFrame, sketch: bytearray, share: float = SHARE) -> DataFrame:
-    """``(block, cls, n)``: every pair of the first ``k + 2`` set bits in the permuted order.
+    """``(c, n, block)``, c a 64-bit short form of the class: every pair of the first ``k + 2`` set bits in the permuted order.
 
     Of texts over ``SINGLES`` words the first ``k + 1`` bits alone are blocks, so blocks grow with the
     length and not with its square.  Texts up to a quarter longer than that emit both: lengths of
@@ -82,7 +82,7 @@ def blocks(codes: DataFrame, sketch: bytearray, share: float = SHARE) -> DataFra
     single = F.transform(F.slice("p", 1, F.size("p") - 1), lambda x: F.xxhash64(F.lit("single"), x))
     none = F.array().cast("array<bigint>")
     both = F.concat(F.when(F.col("n") * (1 - share) <= SINGLES, pairs).otherwise(none), F.when(F.col("n") > SINGLES, single).otherwise(none))
-    return head.select("cls", "n", F.explode(both).alias("block"))
+    return head.select(F.xxhash64("cls").alias("c"), "n", F.explode(both).alias("block"))
 
 
 def _within(a: list[str], b: list[str], k: int) -> bool:
@@ -129,12 +129,13 @@ def overlaps(rows: DataFrame, id_col: str = "id", text_col: str = "text", split_
     cls = members.groupBy("cls").agg(F.max(eval_.cast("int")).alias("e"), F.max((~eval_).cast("int")).alias("t"), F.first("words").alias("words"))
     cls = stage(with_bits(cls.select("cls", "e", "t", "words", F.size("words").alias("n"))), "classes")
     sketch = frequency_sketch(cls)
-    e = blocks(cls.where("e = 1"), sketch, share).select("block", F.col("cls").alias("cls_e"), F.col("n").alias("n_e"))
-    t = blocks(cls.where("t = 1"), sketch, share).select("block", F.col("cls").alias("cls_t"), F.col("n").alias("n_t"))
+    e = blocks(cls.where("e = 1"), sketch, share).select("block", F.col("c").alias("c_e"), F.col("n").alias("n_e"))
+    t = blocks(cls.where("t = 1"), sketch, share).select("block", F.col("c").alias("c_t"), F.col("n").alias("n_t"))
     near = F.abs(F.col("n_e") - F.col("n_t")) <= F.floor(F.greatest("n_e", "n_t") * share)
-    cand = e.join(t, "block").where(near & (F.col("cls_e") != F.col("cls_t"))).select("cls_e", "cls_t").distinct()
-    side = lambda s: cls.select(F.col("cls").alias(f"cls_{s}"), F.col("words").alias(f"w_{s}"), *[f.alias(f"{s}{i}") for i, f in enumerate(fold(F.col("code")))])
-    full = cand.join(side("e"), "cls_e").join(side("t"), "cls_t")
+    cand = e.join(t, "block").where(near & (F.col("c_e") != F.col("c_t"))).select("c_e", "c_t").distinct()
+    side = lambda s: cls.select(F.xxhash64("cls").alias(f"c_{s}"), F.col("cls").alias(f"cls_{s}"), F.col("words").alias(f"w_{s}"), *[f.alias(f"{s}{i}") for i, f in enumerate(fold(F.col("code")))])
+    # short forms that coincide only add candidates, which the verification drops
+    full = cand.join(side("e"), "c_e").join(side("t"), "c_t")
     apart = sum((F.bit_count(F.col(f"e{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(4)), F.lit(0))
     radius = 2 * F.floor(F.greatest(F.size("w_e"), F.size("w_t")) * share)
     linked = full.where(apart <= radius).where(close(F.col("w_e"), F.col("w_t"), share)).select("cls_e", "cls_t")
