@@ -4,9 +4,8 @@ Texts are reduced to the words that count.  Texts with the same words form a cla
 compared once.  A class's fingerprint is a sparse bit code: every word occurrence sets the bit of its
 hash, one changed word moves at most two bits, so classes within ``k`` word edits lie within Hamming
 radius ``2k``.  The code's bits are permuted into one global order, rarest first; two codes within
-the radius agree in at least two of their first ``k + 2`` set bits (the codes share all but ``k``
-bits).  Blocks are the pairs of those bits; they are joined across the splits, candidates are
-checked by Hamming distance on a 256-bit fold of the code and verified by word edit distance.
+the radius agree in at least three of their first ``k + 3`` set bits (the codes share all but ``k``
+bits).  Blocks are sets of those bits; they are joined across the splits, candidates are checked by Hamming distance on a 256-bit fold of the code and verified by word edit distance.
 
 Classic 64-bit codes cut into equal segments need a radius of 20 and more for one word in five and
 then lose pairs or join on three-bit blocks; the sparse code keeps every pair (see README).
@@ -29,8 +28,8 @@ from .splits import read_split
 SHARE = 0.2
 #: Cells of the frequency sketch that orders bits; its size does not depend on the data.
 CELLS = 1 << 16
-#: Words of a text beyond which single bits are blocks.
-SINGLES = 200
+#: Bits of a block, and the lengths (words) of the texts: over the first, up to the second.
+KINDS = {3: (0, 50), 2: (50, 200), 1: (200, 2**31)}
 #: Links, amounts with a currency, and the currencies' words.
 LINK = r"(?:h(?:tt|xx)ps?://|www\.)\S+|(?<![\p{L}\p{N}_-])(?=[\p{L}\p{N}_-]++\.[\p{L}\p{N}_-])[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)*\.(?:\p{L}{2,}/\S*|(?:com|net|org|test|example|invalid|info|biz|io|co)(?![\p{L}\p{N}]))"
 CURRENCY = r"(?:usd|eur|gbp|inr|aud|cad|dollars?|euros?|pounds?)"
@@ -68,21 +67,36 @@ def frequency_sketch(codes: DataFrame) -> bytearray:
     return bytearray(np.minimum(255, np.log2(out + 1) * 6).astype(np.uint8).tobytes())
 
 
+def _sets(size: int) -> Column:
+    """Hashes of all sets of ``size`` elements of the sorted array column ``q``."""
+    rest = lambda i: F.slice("q", i + 1, F.size("q"))
+    if size == 1:
+        return F.transform("q", lambda x: F.xxhash64(F.lit(1), x))
+    if size == 2:
+        return F.flatten(F.transform("q", lambda x, i: F.transform(rest(i + 1), lambda y: F.xxhash64(F.lit(2), x, y))))
+    return F.flatten(F.transform("q", lambda x, i: F.flatten(F.transform(rest(i + 1), lambda y, j: F.transform(rest(i + j + 2), lambda z: F.xxhash64(F.lit(3), x, y, z))))))
+
+
 def blocks(codes: DataFrame, sketch: bytearray, share: float = SHARE) -> DataFrame:
-    """``(c, n, block)``, c a 64-bit short form of the class: every pair of the first ``k + 2`` set bits in the permuted order.
+    """``(c, n, f, block)``: sets of bits of the head of the permuted code; c is a 64-bit form of the
+    class, f the code folded to 64 bits.
 
-    Of texts over ``SINGLES`` words the first ``k + 1`` bits alone are blocks, so blocks grow with the
-    length and not with its square.  Texts up to a quarter longer than that emit both: lengths of
-    close texts differ by no more, so two close texts always share one kind.
+    Codes of n and m words that are within k = share * max(n, m) edits share all but k bits, so they
+    agree in ``size`` of their first ``k + size`` bits.  ``size`` is 3, 2 or 1 by length (``KINDS``), so
+    blocks are rare where texts are short and many, and few where texts are long.  Kinds overlap by
+    the share that lengths of close texts may differ: two close texts always have one in common.
     """
     rank = lambda b: F.substring(F.lit(sketch), F.pmod(b, F.lit(CELLS)).cast("int") + 1, F.lit(1))
-    first = F.slice(F.array_sort(F.transform("code", lambda b: F.struct(rank(b).alias("r"), b.alias("b")))), 1, (F.floor(F.col("n") * share) + 2).cast("int"))
-    head = codes.where("n >= 5").select("cls", "n", F.transform(first, lambda x: x["b"]).alias("p")).withColumn("q", F.array_sort("p"))
-    pairs = F.flatten(F.transform("q", lambda x, i: F.transform(F.slice("q", i + 2, F.size("q")), lambda y: F.xxhash64(x, y))))
-    single = F.transform(F.slice("p", 1, F.size("p") - 1), lambda x: F.xxhash64(F.lit("single"), x))
-    none = F.array().cast("array<bigint>")
-    both = F.concat(F.when(F.col("n") * (1 - share) <= SINGLES, pairs).otherwise(none), F.when(F.col("n") > SINGLES, single).otherwise(none))
-    return head.select(F.xxhash64("cls").alias("c"), "n", F.explode(both).alias("block"))
+    order = F.array_sort(F.transform("code", lambda b: F.struct(rank(b).alias("r"), b.alias("b"))))
+    short = F.col("f0").bitwiseXOR(F.col("f1")).bitwiseXOR(F.col("f2")).bitwiseXOR(F.col("f3"))
+    ranked = codes.where("n >= 5").select(F.xxhash64("cls").alias("c"), "n", short.alias("f"), order.alias("o"))
+    out = None
+    for size, (low, high) in KINDS.items():
+        head = F.slice("o", 1, (F.floor(F.col("n") * share) + size).cast("int"))
+        own = ranked.where((F.col("n") > low) & (F.col("n") * (1 - share) <= high)).select("c", "n", "f", F.array_sort(F.transform(head, lambda x: x["b"])).alias("q"))
+        part = own.select("c", "n", "f", F.explode(_sets(size)).alias("block"))
+        out = part if out is None else out.union(part)
+    return out
 
 
 def _within(a: list[str], b: list[str], k: int) -> bool:
@@ -127,13 +141,16 @@ def overlaps(rows: DataFrame, id_col: str = "id", text_col: str = "text", split_
     members = stage(members.withColumn("cls", F.unhex(F.md5(F.array_join("words", " ")))), "members")
     eval_ = F.col("split") != "train"
     cls = members.groupBy("cls").agg(F.max(eval_.cast("int")).alias("e"), F.max((~eval_).cast("int")).alias("t"), F.first("words").alias("words"))
-    cls = stage(with_bits(cls.select("cls", "e", "t", "words", F.size("words").alias("n"))), "classes")
+    cls = with_bits(cls.select("cls", "e", "t", "words", F.size("words").alias("n")))
+    cls = stage(cls.select("*", *fold(F.col("code"))), "classes")
     sketch = frequency_sketch(cls)
-    e = blocks(cls.where("e = 1"), sketch, share).select("block", F.col("c").alias("c_e"), F.col("n").alias("n_e"))
-    t = blocks(cls.where("t = 1"), sketch, share).select("block", F.col("c").alias("c_t"), F.col("n").alias("n_t"))
+    e = blocks(cls.where("e = 1"), sketch, share).select("block", F.col("c").alias("c_e"), F.col("n").alias("n_e"), F.col("f").alias("f_e"))
+    t = blocks(cls.where("t = 1"), sketch, share).select("block", F.col("c").alias("c_t"), F.col("n").alias("n_t"), F.col("f").alias("f_t"))
     near = F.abs(F.col("n_e") - F.col("n_t")) <= F.floor(F.greatest("n_e", "n_t") * share)
-    cand = e.join(t, "block").where(near & (F.col("c_e") != F.col("c_t"))).select("c_e", "c_t").distinct()
-    side = lambda s: cls.select(F.xxhash64("cls").alias(f"c_{s}"), F.col("cls").alias(f"cls_{s}"), F.col("words").alias(f"w_{s}"), *[f.alias(f"{s}{i}") for i, f in enumerate(fold(F.col("code")))])
+    # the radius is checked on the short fold inside the join, before anything else is shuffled
+    inside = F.bit_count(F.col("f_e").bitwiseXOR(F.col("f_t"))) <= 2 * F.floor(F.greatest("n_e", "n_t") * share)
+    cand = e.join(t, "block").where(inside & near & (F.col("c_e") != F.col("c_t"))).select("c_e", "c_t").distinct()
+    side = lambda s: cls.select(F.xxhash64("cls").alias(f"c_{s}"), F.col("cls").alias(f"cls_{s}"), F.col("words").alias(f"w_{s}"), *[F.col(f"f{i}").alias(f"{s}{i}") for i in range(4)])
     # short forms that coincide only add candidates, which the verification drops
     full = cand.join(side("e"), "c_e").join(side("t"), "c_t")
     apart = sum((F.bit_count(F.col(f"e{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(4)), F.lit(0))
