@@ -24,7 +24,9 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumns({"_flat": F.regexp_replace("_low", "[^a-z0-9]", ""), "_all": F.array_join("_d", "")})
     t, low, d, w = (F.col(c) for c in ("_t", "_low", "_d", "_w"))
     n = F.greatest(F.length(t), F.lit(1))
-    named = F.filter(F.array(*[F.lit(b) for b in MISMATCH_BRANDS]), lambda b: F.col("_flat").contains(b))
+    # no lambda around _flat: an expression inlined into a lambda is computed per element
+    df = df.withColumn("_named", F.array_compact(F.array(*[F.when(F.col("_flat").contains(b), F.lit(b)) for b in MISMATCH_BRANDS])))
+    named = F.col("_named")
     in_domain = F.exists(d, lambda x: F.exists(named, lambda b: F.translate(x, ".-", "").contains(b)))
     lits = lambda xs: F.array(*[F.lit(x) for x in xs])
     cols = {
@@ -48,7 +50,7 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
         "has_leetspeak": t.rlike(rf"(?iu)(?<!{WORD})[a-z]+[0-9]+[a-z]+(?!{WORD})").cast("int"),
         "avg_word_len": F.when(F.size(w) > 0, F.length(F.array_join(w, "")) / F.size(w)).otherwise(0.0),
     }
-    return df.withColumns(cols).drop("_t", "_low", "_d", "_w", "_flat", "_all")
+    return df.withColumns(cols).drop("_t", "_low", "_d", "_w", "_flat", "_all", "_named")
 
 
 def with_keywords(df: DataFrame, text: str = "text") -> DataFrame:

@@ -64,7 +64,8 @@ def registrable(host: Column) -> Column:
 
 def count_of(s: Column, term: str) -> Column:
     """Occurrences of a literal, not overlapping."""
-    return ((F.length(s) - F.length(F.replace(s, F.lit(term), F.lit("")))) / len(term)).cast("int")
+    # most terms do not occur: the byte search alone decides that
+    return F.when(s.contains(term), ((F.length(s) - F.length(F.replace(s, F.lit(term), F.lit("")))) / len(term)).cast("int")).otherwise(F.when(s.isNotNull(), 0))
 
 
 def words(s: Column) -> Column:
