@@ -183,6 +183,18 @@ def p6_unmatched(spark, d):
     return _p6(spark, d).where("term_id = 0").groupBy("field_name", "value").agg(F.countDistinct("report_id").alias("reports"))
 
 
+_BOUND = "(\\p{N})%s(\\p{N})"  # a dot or comma between two digits becomes a letter; twice, for 1.2.3
+_LETTERS = "lower(upper(text))"
+for _sign, _letter in (("[.]", "ʬ"), ("[.]", "ʬ"), ("[,]", "ʭ"), ("[,]", "ʭ")):
+    _LETTERS = f"regexp_replace({_LETTERS}, '{_BOUND % _sign}', '\\1{_letter}\\2', 'g')"
+SQL["p8_found"] = f"""
+WITH t AS (SELECT 0 s, doc_id k, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 1, item_id, text FROM eval_items WHERE text IS NOT NULL),
+w AS (SELECT s, k, list_filter(string_split_regex({_LETTERS}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') a FROM t),
+h AS (SELECT s, k, unnest(string_split_regex(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]+', '', 'g'), '[^\\p{{Han}}]+')) r FROM t),
+g AS (SELECT s, k, array_to_string(list_slice(a, i, i + 11), ' ') g FROM (SELECT s, k, a, unnest(range(1, len(a) - 10)) i FROM w WHERE len(a) >= 12)
+  UNION ALL SELECT s, k, substr(r, i, 20) FROM (SELECT s, k, r, unnest(range(1, length(r) - 18)) i FROM h WHERE length(r) >= 20))
+SELECT DISTINCT d.k doc_id, e.k item_id FROM g d JOIN g e ON d.g = e.g WHERE d.s = 0 AND e.s = 1"""
+
 # -- 9 mixtures ---------------------------------------------------------------
 
 
