@@ -76,6 +76,31 @@ def test_1_incremental_state_keeps_and_quarantines(spark):
     assert sorted((r.rows, r.status) for r in comp.collect()) == [(1, "kept"), (3, "quarantined")]  # record 3 joins a and b
 
 
+def test_1_written_table_carries_decisions_to_the_next_batch(spark, tmp_path):
+    shares, schema = {"train": 0.5, "val": 0.25, "test": 0.25}, "id long, author string, source string, s string"
+    kw = dict(keys=["author", "source"], split=F.col("s"), shares=shares)
+    a = spark.createDataFrame([(i, f"a{i // 2}", f"s{i // 2}", None) for i in range(400)] + [(900, "q", None, "train"), (901, "q", None, "test")], schema)
+    one, _ = splits.group_splits(a, "id", save=f"{tmp_path}/1", **kw)
+    first = {r.id: r.split for r in one.collect()}
+    state = spark.read.parquet(f"{tmp_path}/1")
+    assert {r.split for r in state.collect()} == set(splits.SPLITS) and state.where("node = 'author\x1fa3'").collect()[0].rows == 2
+    x, y = next(i for i in first if first[i] == "val"), next(i for i in first if first[i] == "test")
+    rows = [(1000 + i, f"a{i // 2}", None, None) for i in range(400)]
+    rows += [(3000, "q", None, None), (4000, f"a{x // 2}", f"s{y // 2}", None), *[(5000 + i, f"n{i}", None, None) for i in range(400)]]
+    two, comp = splits.group_splits(spark.createDataFrame(rows, schema), "id", state=state, save=f"{tmp_path}/2", **kw)
+    got = {r.id: (r.split, r.status) for r in two.collect()}
+    joined = {x // 2, y // 2}
+    assert all(got[1000 + i] == (first[i], "kept") for i in range(400) if i // 2 not in joined)  # decisions are kept
+    assert got[3000] == ("train", "quarantined")  # and so is a quarantine
+    assert {got[1000 + i] for i in range(400) if i // 2 in joined} == {("train", "quarantined")}  # val and test merged
+    n = collections.Counter()
+    for r in comp.collect():
+        n[r.split] += r.rows
+    assert sum(n.values()) == 402 + 802 and all(abs(n[s] - 0.25 * 1204) < 20 for s in ("val", "test"))  # deficits over both batches
+    state = spark.read.parquet(f"{tmp_path}/2")
+    assert state.groupBy("component").agg(F.first("rows").alias("n")).agg(F.sum("n")).collect()[0][0] == 1204
+
+
 # -- 2 ------------------------------------------------------------------------
 
 

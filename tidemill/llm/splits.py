@@ -1,9 +1,11 @@
 """Problem 1: train, validation and test splits that keep related records together.
 
-A persisted component table maps every link key (an author, a source, a duplicate group) to its
-component and the component to its split.  A batch of records adds keys and links; components that
-become connected are merged by pointer jumping.  A component with one known split keeps it, one with
-none fills the deficit of the targets, and one in which several known splits meet is quarantined.
+A component table maps every link key (an author, a source, a duplicate group) to its component and
+the component to its decided split, status and row counts.  ``group_splits`` writes it where ``save``
+names a folder, and reads the one of the earlier batches as ``state``.  A batch of new records adds
+keys and links; components that become connected are merged by pointer jumping.  A component with one
+known split keeps it, one with none fills the deficit of the targets over all batches, and one in
+which several known splits meet is quarantined and stays so.
 
 Defined results for odd input: a null key links nothing (a record with no key is a component of its
 own); a null or unreadable split is no claim; a null cleanliness flag counts as clean; a record
@@ -79,7 +81,9 @@ def connect(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def component_table(records: DataFrame, id_col: str, keys: Sequence[str], split: Column | None = None, unclean: Column | None = None, latest: str | None = None, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The updated component table and each record's component.
 
-    ``state`` is an earlier table ``(node, component, split)``; the records' own stored splits are
+    ``state`` is an earlier table ``(node, component, split)``, as ``state_table`` makes it with
+    ``(status, rows, unclean_rows)`` too: its rows are counted with the new ones (a record must not
+    come in two batches), what it quarantined stays quarantined.  The records' own stored splits are
     claims as well.  Returns ``(node, component, rows, claims, unclean_eval, unclean_rows, split,
     status)``, one row per node, and ``(id, component)``.  ``status`` is kept, new or quarantined.
     """
@@ -110,12 +114,19 @@ def component_table(records: DataFrame, id_col: str, keys: Sequence[str], split:
         per = per.join(held, "node", "left")
         for s in SPLITS:
             per = per.withColumn(f"n_{s}", F.coalesce(f"n_{s}", F.lit(0)) + F.coalesce((F.col("held") == s).cast("long"), F.lit(0)))
-    comp = per.groupBy("component").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums])
+        # counts of an earlier component stand on each of its nodes; they come in once, at the node that names it
+        old = lambda c, kind: F.max(F.col(c) if c in state.columns else F.lit(None).cast(kind)).alias(f"_{c}")
+        earlier = state.groupBy(F.col("component").alias("node")).agg(old("rows", "long"), old("unclean_rows", "long"), old("status", "string"))
+        per = per.join(earlier, "node", "left")
+        for c in ("rows", "unclean_rows"):
+            per = per.withColumn(c, F.coalesce(c, F.lit(0)) + F.coalesce(f"_{c}", F.lit(0)))
+    stays = F.max(F.col("_status") == "quarantined") if state is not None else F.lit(False)
+    comp = per.groupBy("component").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums], F.coalesce(stays, F.lit(False)).alias("stays"))
     claims = F.array_compact(F.array(*[F.when(F.col(f"n_{s}") > 0, s) for s in SPLITS]))
-    comp = comp.select("component", "rows", claims.alias("claims"), "unclean_eval", "unclean_rows")
-    conflict = (F.size("claims") > 1) | (F.col("unclean_eval") > 0)
+    comp = comp.select("component", "rows", claims.alias("claims"), "unclean_eval", "unclean_rows", "stays")
+    conflict = (F.size("claims") > 1) | (F.col("unclean_eval") > 0) | F.col("stays")
     comp = comp.withColumn("status", F.when(conflict, "quarantined").when(F.size("claims") == 1, "kept").otherwise("new"))
-    comp = comp.withColumn("split", F.when(F.col("status") == "kept", F.col("claims")[0]))
+    comp = comp.withColumn("split", F.when(F.col("status") == "kept", F.col("claims")[0])).drop("stays")
     where = facts.select(id_col, F.col("anchor").alias("node"))
     return comp, labels.join(comp, "component"), where.join(labels, "node").select(id_col, "component")
 
@@ -145,8 +156,21 @@ def fill(comp: DataFrame, shares: dict[str, float]) -> DataFrame:
     return new.select(cols).union(slotted.where("not _open").withColumn("split", F.coalesce("split", F.lit("train"))).select(cols))
 
 
-def group_splits(records: DataFrame, id_col: str, keys: Sequence[str], shares: dict[str, float], **more) -> tuple[DataFrame, DataFrame]:
-    """Every record's split, and the decided components."""
-    comp, _, where = component_table(records, id_col, keys, **more)
+def state_table(nodes: DataFrame, decided: DataFrame) -> DataFrame:
+    """The component table with the decisions of ``fill``, for the next batch:
+    ``(node, component, split, status, rows, unclean_rows)``, one row per node."""
+    return nodes.select("node", "component", "unclean_rows").join(decided, "component").select("node", "component", "split", "status", "rows", "unclean_rows")
+
+
+def group_splits(records: DataFrame, id_col: str, keys: Sequence[str], shares: dict[str, float], save: str | None = None, **more) -> tuple[DataFrame, DataFrame]:
+    """Every record's split, and the decided components.
+
+    ``save`` is a new folder to which the component table is written; read again, it is the ``state``
+    of the next batch.
+    """
+    comp, nodes, where = component_table(records, id_col, keys, **more)
     decided = fill(cut(comp), shares)
+    if save is not None:
+        decided = cut(decided)
+        state_table(nodes, decided).write.parquet(save)
     return where.join(decided.select("component", "status", "split"), "component").select(id_col, "split", "status"), decided
