@@ -101,6 +101,19 @@ def test_1_written_table_carries_decisions_to_the_next_batch(spark, tmp_path):
     assert state.groupBy("component").agg(F.first("rows").alias("n")).agg(F.sum("n")).collect()[0][0] == 1204
 
 
+@pytest.mark.parametrize(("sizes", "shares", "want"), [
+    ([2] * 50, (0.8, 0.1, 0.1), (10, 10)),  # every component is above one row in a hundred
+    ([1] * 50, (0.8, 0.1, 0.1), (5, 5)),  # fewer than a hundred rows
+    ([1] * 200, (0.9, 0.0, 0.1), (0, 20)),  # a split without a share
+    ([40, 30, 12, 9, 5, 4], (0.6, 0.2, 0.2), (16, 14)),  # 12 and 4, 9 and 5; 40 and 30 fit nowhere
+])
+def test_1_large_components_fill_deficits_too(spark, sizes, shares, want):
+    rows = [(i, g) for i, g in enumerate(g for g, n in enumerate(sizes) for _ in range(n))]
+    out, _ = splits.group_splits(spark.createDataFrame(rows, "id long, g long"), "id", ["g"], dict(zip(splits.SPLITS, shares)))
+    n = collections.Counter(r.split for r in out.collect())
+    assert sum(n.values()) == len(rows) and (n["val"], n["test"]) == want
+
+
 # -- 2 ------------------------------------------------------------------------
 
 

@@ -135,23 +135,37 @@ def fill(comp: DataFrame, shares: dict[str, float]) -> DataFrame:
     """``comp`` with every split decided: ``(component, rows, status, split)``.
 
     Kept components stay.  A kept evaluation component into which an unclean record has come, and a
-    quarantined one, go to train, where they leak into nothing.  New components with an unclean record, or larger than a tenth of
-    an evaluation target, train as well; the other new ones are laid out in hash order and cut where
-    the deficits of val and test are filled.
+    quarantined one, go to train, where they leak into nothing; so do new components with an unclean
+    record.  The other new ones fill the deficits of val and test.  Those larger than a tenth of the
+    lesser target (of the splits that have one) are placed singly, largest first, into the split that
+    lacks most and can hold it, as long as the small ones are too few for what is lacking; at most ten
+    by the least share of them are collected.  The small ones are then laid out in hash order and cut
+    where the deficits are filled.
     """
     comp = comp.withColumn("split", F.when(F.col("unclean_rows") > 0, F.lit("train")).otherwise(F.col("split")))
-    total = comp.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("total"), *[F.coalesce(F.sum(F.when(F.col("split") == s, F.col("rows"))), F.lit(0)).alias(s) for s in ("val", "test")])
-    lack = total.select("total", *[F.greatest(F.lit(0.0), F.col("total") * shares[s] - F.col(s)).alias(f"lack_{s}") for s in ("val", "test")])
-    large = F.col("rows") > 0.1 * F.col("total") * min(shares["val"], shares["test"])
-    comp = comp.crossJoin(F.broadcast(lack))  # one row
-    open_ = (F.col("status") == "new") & (F.col("unclean_rows") == 0) & ~large
-    slotted = comp.withColumn("_open", open_).withColumn("_slot", F.pmod(F.xxhash64("component"), F.lit(SLOTS)))
+    open_ = (F.col("status") == "new") & (F.col("unclean_rows") == 0)
+    total = comp.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("total"), *[F.coalesce(F.sum(F.when(F.col("split") == s, F.col("rows"))), F.lit(0)).alias(s) for s in ("val", "test")]).first()
+    lack = {s: max(0.0, total["total"] * shares[s] - total[s]) for s in ("val", "test")}
+    large = F.col("rows") > 0.1 * total["total"] * min([shares[s] for s in lack if shares[s] > 0], default=0)
+    small = comp.where(open_ & ~large).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
+    placed = []
+    if sum(lack.values()) > small:
+        fits = comp.where(open_ & large & (F.col("rows") <= max(lack.values()) + 1e-6)).select("component", "rows")
+        for c, n in fits.orderBy(F.desc("rows"), F.xxhash64("component"), "component").collect():  # at most 10 / the least share
+            most = max(lack, key=lambda s: (lack[s] + 1e-6 >= n, lack[s]))
+            if sum(lack.values()) > small and lack[most] + 1e-6 >= n:
+                lack[most] -= n
+                placed.append((c, most))
+    if placed:
+        at = comp.sparkSession.createDataFrame(placed, "component string, _placed string")
+        comp = comp.join(F.broadcast(at), "component", "left").withColumn("split", F.coalesce("_placed", "split"))
+    slotted = comp.withColumn("_open", open_ & ~large).withColumn("_slot", F.pmod(F.xxhash64("component"), F.lit(SLOTS)))
     per_slot = slotted.where("_open").groupBy("_slot").agg(F.sum("rows").alias("_n"))
     before = per_slot.withColumn("_before", F.sum("_n").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))).select("_slot", F.coalesce("_before", F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_slot").orderBy(F.xxhash64("component", F.lit(1)), "component").rowsBetween(Window.unboundedPreceding, -1)
     new = slotted.where("_open").withColumn("_in", F.coalesce(F.sum("rows").over(inside), F.lit(0))).join(F.broadcast(before), "_slot")  # at most SLOTS rows
     middle = F.col("_before") + F.col("_in") + F.col("rows") / 2
-    new = new.withColumn("split", F.when(middle < F.col("lack_val"), "val").when(middle < F.col("lack_val") + F.col("lack_test"), "test").otherwise("train"))
+    new = new.withColumn("split", F.when(middle < lack["val"], "val").when(middle < lack["val"] + lack["test"], "test").otherwise("train"))
     cols = ["component", "rows", "status", "split"]
     return new.select(cols).union(slotted.where("not _open").withColumn("split", F.coalesce("split", F.lit("train"))).select(cols))
 
