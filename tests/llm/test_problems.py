@@ -158,6 +158,12 @@ def test_2_what_does_not_count(spark):
     assert leaks.overlap_pairs(*leaks.overlaps(d.limit(0))).count() == 0
 
 
+def test_2_four_words_against_five(spark):
+    rows = [(1, "your parcel waits here", "val"), (2, "your parcel still waits here", "train"), (3, "your parcel waits there", "train"), (4, "parcel waits here", "train"), (5, "Your parcel waits here!", "train"), (6, "one two two two", "test"), (7, "one two two two two", "train")]
+    d = spark.createDataFrame(rows, "id long, text string, split string")
+    assert pairs(leaks.overlap_pairs(*leaks.overlaps(d))) == {(1, 2), (1, 5), (6, 7)}
+
+
 def test_2_long_texts_of_both_block_kinds(spark):
     r = random.Random(15)
     vocab = [f"w{a}{b}" for a in "abcdefghij" for b in "abcdefghij"]

@@ -11,7 +11,8 @@ Classic 64-bit codes cut into equal segments need a radius of 20 and more for on
 then lose pairs or join on three-bit blocks; the sparse code keeps every pair (see README).
 
 Defined results: nulls have no text and no pair; texts without a counted word match nothing; rows
-redelivered count once; texts of under five words match only when equal; unknown splits are no split.
+redelivered count once; a text of four words matches an equal one or one of five words with one more,
+shorter texts match only when equal; unknown splits are no split.
 """
 
 from __future__ import annotations
@@ -89,7 +90,7 @@ def blocks(codes: DataFrame, sketch: bytearray, share: float = SHARE) -> DataFra
     rank = lambda b: F.substring(F.lit(sketch), F.pmod(b, F.lit(CELLS)).cast("int") + 1, F.lit(1))
     order = F.array_sort(F.transform("code", lambda b: F.struct(rank(b).alias("r"), b.alias("b"))))
     short = F.col("f0").bitwiseXOR(F.col("f1")).bitwiseXOR(F.col("f2")).bitwiseXOR(F.col("f3"))
-    ranked = codes.where("n >= 5").select(F.xxhash64("cls").alias("c"), "n", short.alias("f"), order.alias("o"))
+    ranked = codes.where("n >= 4").select(F.xxhash64("cls").alias("c"), "n", short.alias("f"), order.alias("o"))
     out = None
     for size, (low, high) in KINDS.items():
         head = F.slice("o", 1, (F.floor(F.col("n") * share) + size).cast("int"))
