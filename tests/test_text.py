@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import features as X
 from tidemill.functions import text as T
+from tidemill import queries as core
 from tidemill.functions.wordpiece import pooled, wordpiece
 from tidemill.vocabulary import FAMILIES, KEYWORDS, KNOWN_TLDS
 
@@ -89,3 +90,14 @@ def test_lower_keeps_unicode(spark):
     got = [r[0] for r in frame(spark, values).orderBy("i").select(T.exact_key(F.col("text"))).collect()]
     assert got == [re.sub(r"\s+", " ", v.lower()).strip() for v in values]
     assert unicodedata.normalize("NFC", got[0]).startswith("café")
+
+
+def test_prompts_and_token_counts_take_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "ab " * 300)], "item_id long, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    spark.createDataFrame([(1, "ab " * 300), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert core.QUERIES["f15_template_fill"](spark, str(tmp_path)).collect()[0].prompt == f"Type of: {'ab ' * 300}\nA) yes\nB) no"
+    counted = {r.doc_id: r.n for r in core.QUERIES["f18_wordpiece"](spark, str(tmp_path)).collect()}
+    assert counted[1] == 602
+    vocab = {w: i for i, w in enumerate(["[UNK]", "[CLS]", "[SEP]", "a", "##b"])}
+    ids = spark.createDataFrame([("ab " * 300,)], "t string").select(wordpiece(F.col("t"), vocab).alias("d"), wordpiece(F.col("t"), vocab, limit=10).alias("x")).collect()[0]
+    assert len(ids.d) == 256 and ids.x == [1, *[3, 4] * 4, 2]

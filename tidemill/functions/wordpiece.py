@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 LONGEST = 100
 
 
-def _pieces(text: str, vocab: dict[str, int], limit: int) -> list[int]:
+def _pieces(text: str, vocab: dict[str, int], limit: int | None) -> list[int]:
     spaced = []
     for ch in text:
         cat = unicodedata.category(ch)
@@ -59,11 +59,12 @@ def _pieces(text: str, vocab: dict[str, int], limit: int) -> list[int]:
         else:
             word.append(ch)
     flush()
-    return [vocab["[CLS]"], *out[: limit - 2], vocab["[SEP]"]]
+    return [vocab["[CLS]"], *(out if limit is None else out[: limit - 2]), vocab["[SEP]"]]
 
 
-def wordpiece(text: Column, vocab: dict[str, int], limit: int = 256) -> Column:
-    """Token ids with start and end marks; greedy longest match, cut to ``limit`` ids."""
+def wordpiece(text: Column, vocab: dict[str, int], limit: int | None = 256) -> Column:
+    """Token ids with start and end marks; greedy longest match, cut to ``limit`` ids
+    unless that is None."""
 
     @F.pandas_udf("array<int>")
     def run(s: pd.Series) -> pd.Series:

@@ -889,7 +889,7 @@ def f14(spark, d):
 
 @add("f15_template_fill", "SELECT item_id, 'Type of: ' || substr(text, 1, 40) || chr(10) || 'A) yes' || chr(10) || 'B) no' prompt FROM eval_items")
 def f15(spark, d):
-    return table(spark, d, "eval_items").select("item_id", F.format_string("Type of: %s\nA) yes\nB) no", F.substring("text", 1, 40)).alias("prompt"))
+    return table(spark, d, "eval_items").select("item_id", F.format_string("Type of: %s\nA) yes\nB) no", F.col("text")).alias("prompt"))
 
 
 @add("f16_half_even", "SELECT p_partkey, CAST(round_even(CAST(p_size AS DOUBLE) / 8, 2) AS DOUBLE) r FROM part")
@@ -906,9 +906,9 @@ def f17(spark, d):
 
 @add("f18_wordpiece")
 def f18(spark, d):
-    """Token counts against a toy vocabulary; exact ids are tested."""
+    """Token counts of whole texts against a toy vocabulary; exact ids and the cut are tested."""
     vocab = {w: i for i, w in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", *"abcdefghijklmnopqrstuvwxyz0123456789", *[f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz0123456789"]])}
-    return table(spark, d, "documents").select("doc_id", F.size(wordpiece(F.col("text"), vocab)).alias("n"))
+    return table(spark, d, "documents").select("doc_id", F.size(wordpiece(F.col("text"), vocab, limit=None)).alias("n"))
 
 
 @add("f19_unit_length", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) norm FROM embeddings")
