@@ -209,3 +209,14 @@ def test_type_by_category_then_brand(spark):
     got = [r[0] for r in d.select(corpus.typed(F.col("c"), F.col("b"), {"acmeco": "bank alert"})).collect()]
     assert got == ["delivery and toll", "bank alert", "other", "", "", "other"]
     assert T.slug_column("www.") == "kw_www"
+
+
+def test_a5_every_keyword_with_its_labels(spark, tmp_path):
+    from tidemill import queries as core
+    from tidemill.vocabulary import KEYWORDS
+
+    rows = [(1, 0, "Claim a PRIZE", "spam", 1), (2, 0, "prize", "smishing", 1), (3, 0, "won the prize", "ham", 0), (4, 0, "hi", "ham", 0), (4, 1, "hello", "ham", 0), (5, 0, None, "ham", 0)]
+    spark.createDataFrame([(*r, "train", 1, 1, "s") for r in rows], "id long, loaded_at int, text string, label string, scam int, split string, dup_group long, is_clean_label int, source string").write.parquet(f"{tmp_path}/messages.parquet")
+    got = {r.keyword: tuple(r)[1:] for r in core.QUERIES["a5_keyword_lift"](spark, str(tmp_path)).select("keyword", "n", "ham", "spam", "smishing", "hits", "lift").collect()}
+    assert set(got) == set(KEYWORDS) and len(got) == 38
+    assert got["prize"] == (3, 1, 1, 1, 2, 1.6667) and got["claim"] == (1, 0, 1, 0, 1, 2.5) and got["www."] == (0, 0, 0, 0, 0, None)

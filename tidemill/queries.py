@@ -476,13 +476,14 @@ _KW = ["free", "account", "toll", "bank", "link", "payment", "zelle"]
 
 @add("a5_keyword_lift", f"WITH {SCORED}, k AS (SELECT unnest({_KW!r}) keyword), b AS (SELECT avg(CAST(y AS DOUBLE)) base FROM s) SELECT keyword, count(*) n, count(*) FILTER (WHERE y = 1) hits, round(avg(CAST(y AS DOUBLE)) / any_value(base), 4) lift FROM k JOIN s ON contains(lower(text), keyword), b GROUP BY keyword")
 def a5(spark, d):
-    """Rows and lift per keyword: all flags in one pass, unpivoted after aggregation."""
-    s = scored(spark, d).withColumn("low", F.lower("text"))
-    n = [F.count(F.when(F.col("low").contains(k), 1)).alias(f"n{i}") for i, k in enumerate(_KW)]
-    h = [F.count(F.when(F.col("low").contains(k) & (F.col("y") == 1), 1)).alias(f"h{i}") for i, k in enumerate(_KW)]
-    a = s.agg(F.avg(F.col("y").cast("double")).alias("base"), *n, *h)
-    rows = a.select("base", F.explode(F.array(*[F.struct(F.lit(k).alias("keyword"), F.col(f"n{i}").alias("n"), F.col(f"h{i}").alias("hits")) for i, k in enumerate(_KW)])).alias("x")).select("base", "x.*")
-    return rows.where("n > 0").select("keyword", "n", "hits", F.round(F.col("hits") / F.col("n") / F.col("base"), 4).alias("lift"))
+    """Rows, label split and lift of every keyword, also of those without a row: all flags in one pass,
+    unpivoted after aggregation. The SQL covers seven keywords, without the label split."""
+    m = messages(spark, d, "text", "label", "scam").where("scam is not null").withColumn("low", F.lower("text"))
+    labels = ["ham", "spam", "smishing"]
+    n = lambda c: F.count(F.when(c, 1))
+    per = [F.struct(F.lit(k).alias("keyword"), n(F.col("low").contains(k)).alias("n"), *[n(F.col("low").contains(k) & (F.col("label") == v)).alias(v) for v in labels], n(F.col("low").contains(k) & (F.col("scam") == 1)).alias("hits")) for k in KEYWORDS]
+    rows = m.agg(F.avg(F.col("scam").cast("double")).alias("base"), F.array(*per).alias("x")).select("base", F.explode("x").alias("x")).select("base", "x.*")
+    return rows.select("keyword", "n", *labels, "hits", F.round(F.try_divide(F.try_divide("hits", "n"), "base"), 4).alias("lift"))
 
 
 @add("a6_empty_groups_kept", f"WITH {ONCE} SELECT name scam_type, count(id) n FROM canon_terms LEFT JOIN m ON m.scam_type = name WHERE kind = 'scam_type' GROUP BY 1")
