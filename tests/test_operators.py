@@ -220,3 +220,11 @@ def test_a5_every_keyword_with_its_labels(spark, tmp_path):
     got = {r.keyword: tuple(r)[1:] for r in core.QUERIES["a5_keyword_lift"](spark, str(tmp_path)).select("keyword", "n", "ham", "spam", "smishing", "hits", "lift").collect()}
     assert set(got) == set(KEYWORDS) and len(got) == 38
     assert got["prize"] == (3, 1, 1, 1, 2, 1.6667) and got["claim"] == (1, 0, 1, 0, 1, 2.5) and got["www."] == (0, 0, 0, 0, 0, None)
+
+
+def test_j12_first_hit_beyond_the_second_part(spark, tmp_path):
+    from tidemill import queries as core
+
+    spark.createDataFrame([(1, "no, nor / CVS,Acme"), (2, "Acme/CVS"), (3, "a,b,c"), (4, None)], "report_id long, brand string").write.parquet(f"{tmp_path}/smishtank_reports.parquet")
+    spark.createDataFrame([(7, "brand", "Acme"), (9, "brand", "CVS"), (5, "category", "nor")], "term_id long, kind string, name string").write.parquet(f"{tmp_path}/canon_terms.parquet")
+    assert {tuple(r) for r in core.QUERIES["j12_first_hit_in_list"](spark, str(tmp_path)).collect()} == {(1, 9), (2, 7), (3, 0), (4, 0)}

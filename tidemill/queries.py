@@ -419,7 +419,7 @@ def j11(spark, d):
 def j12(spark, d):
     r = table(spark, d, "smishtank_reports").select("report_id", F.split(F.coalesce("brand", F.lit("")), "[,/]").alias("x")).distinct()
     t = table(spark, d, "canon_terms").where("kind = 'brand'").groupBy("name").agg(F.min("term_id").alias("term_id"))
-    hits = r.select("report_id", F.posexplode(F.slice("x", 1, 2)).alias("pos", "part")).join(t, F.trim("part") == F.col("name"))
+    hits = r.select("report_id", F.posexplode("x").alias("pos", "part")).join(t, F.trim("part") == F.col("name"))
     return r.select("report_id").join(hits.groupBy("report_id").agg(F.min_by("term_id", "pos").alias("term_id")), "report_id", "left").select("report_id", F.coalesce("term_id", F.lit(0)).alias("term_id"))
 
 
