@@ -2,9 +2,10 @@
 
 A record is a tree: a plain text is a sequence of words, a name-value notice an unordered node whose
 children are fields, a nested JSON object an unordered node below its field.  Leaves are normalised
-(case, spacing, punctuation), digests are made bottom-up, the children's digests of unordered nodes
-are sorted, and records are grouped by the root digest.  The whole normalised tree is carried with
-the digest and is part of the grouping key, so a digest collision cannot join two messages.
+(case, spacing, punctuation) and the children of unordered nodes sorted as strings, which gives one
+canonical string per tree; children have no digests.  Records are grouped by this string and its one
+digest, so a digest collision cannot join two messages.  Objects inside JSON arrays, and below ``DEPTH``,
+are not unordered nodes: copies that differ only in field order there stay apart.
 
 Defined results: a null text is no message; texts without any word form one class per exact text;
 repeated fields count as often as they occur; a notice needs four fields; text of any length is read
@@ -44,7 +45,7 @@ def _fields(text: Column) -> Column:
 
 
 def _node(pairs: Column) -> Column:
-    """An unordered node: its children sorted, each with its own digest before it."""
+    """An unordered node: its children, as strings, sorted and joined."""
     return F.concat(F.lit("{"), F.array_join(F.array_sort(pairs), "\x1f"), F.lit("}"))
 
 
