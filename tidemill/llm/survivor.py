@@ -4,8 +4,9 @@ Fields that depend on each other form a bundle and are taken together from one m
 candidates are ranked by the trust of their source, then by recency, then by member id.  Functional
 dependencies tie bundles: with ``sender -> brand`` the surviving sender and brand must occur together
 in some member.  Without such a tie each bundle's best candidate is optimal on its own; with it the
-determinant's values are the branches, pruned where even the group's best dependent value cannot beat
-the greedy solution.
+determinant's values are the branches, dropped where even the group's best dependent value cannot beat
+the greedy solution; all pairs are scored before that.  Tied values are ranked by trust and the least
+member id that holds the determinant, not by recency.
 
 Defined results: members delivered again count once; unknown sources rank last; nulls, blanks and
 unusable strings are no candidates; a bundle without candidates gives nulls (labels: -1); a group
