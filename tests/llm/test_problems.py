@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 import unicodedata
 from itertools import combinations
 
@@ -357,6 +358,19 @@ def test_8_reordered_partial_and_chinese(spark):
     assert tiling.contained(docs.limit(0), items).count() == 0 and tiling.contained(docs, items.limit(0)).count() == 0
 
 
+def test_8_repetitive_texts_and_reordered_pieces(spark):
+    began = time.time()
+    got = tiling.tiles(["a"] * 30_000, ["a"] * 300, 12)
+    assert [n for _, _, n in got] == [300] and time.time() - began < 30
+    words = [f"w{i}" for i in range(32)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    pieces = " x ".join(" ".join(words[k : k + 8]) for k in (24, 8, 16, 0))
+    docs = spark.createDataFrame([(1, pieces), (2, " ".join(words[:9])), (3, " ".join(reversed(words)))], "doc_id long, text string")
+    assert tiling.contained(docs, items).count() == 0
+    got = tiling.covered(tiling.contained(docs, items, kinds=tiling.PIECES), 0.5).collect()
+    assert [(r.doc_id, r.item_id, r.coverage) for r in got] == [(1, 1, 1.0)]
+
+
 # -- 9 ------------------------------------------------------------------------
 
 
@@ -433,6 +447,17 @@ def test_10_cuts(cut, i):
     assert cut[i] == (CUTS[i].split("|") if CUTS[i] != "Fine.服务号关了。|Next" else ["Fine.", "服务号关了。", "Next"])
 
 
+def test_10_long_runs_links_and_many_sentences(spark):
+    link = "www." + "a" * 400 + ".Bc"
+    texts = ["wow" + "!" * 12 + "Next one here.", f"See {link} now.", "Yes. " * 9000, "a" + "!)" * 20_000, "www." + "a." * 20_000 + "B"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for r in sentences.sentences(d).orderBy("doc_id", "number").collect():
+        got[r.doc_id].append((r.start_char, r.end_char))
+    assert got[0] == [(0, 15), (15, 29)] and got[1] == [(0, len(texts[1]))] and len(got[3]) == len(got[4]) == 1
+    assert got[2] == [(5 * i, 5 * i + 4) for i in range(9000)]
+
+
 def test_10_lines_blanks_and_odd_input(spark):
     d = spark.createDataFrame([(1, "  One line\n\n two.  \r\nthree"), (2, ""), (3, None), (4, " \n "), (5, "abc. D"), (6, "Yes. " * 3000), (None, "x")], "doc_id long, text string")
     got = collections.defaultdict(list)

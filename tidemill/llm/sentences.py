@@ -12,6 +12,7 @@ belong to no sentence; a text of any length is one row of expressions; repeated
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,23 +40,28 @@ NOT_WORD = r"(?<![\p{L}\p{M}\p{N}])"
 CLOSE = rf"(?:[{SP}]?»|[\"'”’」』）)\]】》〉›\x{{FF02}}]|[“‘](?![\p{{L}}\p{{N}}]))"
 SMILEY = rf"(?:[{SP}]?(?:[:;=]-?[)(DPp](?![\p{{L}}\p{{N}}])|\^\^|<3|[\x{{1F300}}-\x{{1FAFF}}\x{{2600}}-\x{{27BF}}]\x{{FE0F}}?))"
 
-#: (pattern, replacement): each masks dots in place.
+#: (pattern, replacement, text it needs): each masks dots in place.  A pattern starts with the dot and looks behind
+#: it for the word, so the alternatives are tried at dots only, not at every character.
 MASKS = [
-    # decimals, links, first dot of e.g.
-    (r"(?<=[\p{L}\p{N}])\.(?=[\p{Ll}\p{N}])", MASK),
-    (rf"\.(?=\p{{Lu}})(?<=(?:://|[wW]{{3}}[.{MASK}])\S{{0,300}})", MASK),
-    # initials; a single Arabic letter is a title
-    (rf"{NOT_WORD}([\p{{Lu}}\x{{620}}-\x{{64A}}])\.(?=[{SP}]?[\p{{L}}])", f"$1{MASK}"),
+    # decimals, first dot of e.g.; initials; a single Arabic letter is a title
+    (rf"\.(?:(?<=[\p{{L}}\p{{N}}]\.)(?=[\p{{Ll}}\p{{N}}])|(?<={NOT_WORD}[\p{{Lu}}\x{{620}}-\x{{64A}}]\.)(?=[{SP}]?[\p{{L}}]))", MASK, "."),
+    # dots before capitals along a link of any length
+    (rf"((?:(?:://|[wW]{{3}}[.{MASK}])|\G(?!^))(?:[^\s.]++|\.(?!\p{{Lu}}))*+)\.(?=\p{{Lu}})", f"$1{MASK}", ("://", "www", "WWW", "Www")),
     # first dot of abbreviations in two parts, and the last one of those that always go on
-    (rf"(?<![\p{{L}}\p{{M}}\p{{N}}{MASK}])(\p{{L}})\.(?=[{SP}]?\p{{L}}{{1,2}}[.{MASK}]|-)", f"$1{MASK}"),
-    (rf"{NOT_WORD}((?:z{MASK}[{SP}]?B|d{MASK}[{SP}]?h|i{MASK}e|e{MASK}g|p{MASK}[{SP}]?ej|т{MASK}[{SP}]?е|c{MASK}-à-d|o{MASK}[{SP}]?Ä|v{MASK}[{SP}]?a))\.", f"$1{MASK}"),
-    (rf"{NOT_WORD}((?:{'|'.join(ALWAYS)}))\.(?=[{SP}]*[^\s{SP}])", f"$1{MASK}"),
-    (rf"{NOT_WORD}(Co)\.(?=[{SP}](?:Ltd|Inc|KG|Corp))|{NOT_WORD}(EE)\.(?=[{SP}]?UU)", f"$1$2{MASK}"),
-    (rf"{NOT_WORD}((?:{'|'.join(UNLESS_START)}|[ap]{MASK}m|т{MASK}[{SP}]?[дп]|u{MASK}[{SP}]?a))\.(?=[{SP}]*[\p{{Ll}}\p{{N}}$£€#(,;:/-])", f"$1{MASK}"),
-    (rf"{NOT_WORD}([Nn]os?|p)\.(?=[{SP}]?#?\p{{Lu}}{{0,3}}\p{{N}})", f"$1{MASK}"),
-    (rf"(?<=\p{{N}})\.(?=[{SP}](?:{MONTHS})(?![\p{{L}}]))", MASK),
+    (rf"\.(?<=(?<![\p{{L}}\p{{M}}\p{{N}}{MASK}])\p{{L}}\.)(?=[{SP}]?\p{{L}}{{1,2}}[.{MASK}]|-)", MASK, "."),
+    (rf"\.(?<={NOT_WORD}(?:z{MASK}[{SP}]?B|d{MASK}[{SP}]?h|i{MASK}e|e{MASK}g|p{MASK}[{SP}]?ej|т{MASK}[{SP}]?е|c{MASK}-à-d|o{MASK}[{SP}]?Ä|v{MASK}[{SP}]?a)\.)", MASK, MASK),
+    # abbreviations by what follows them, numbers and dates
+    (
+        rf"\.(?:(?=[{SP}]*[^\s{SP}])(?<={NOT_WORD}(?:{'|'.join(ALWAYS)})\.)"
+        rf"|(?=[{SP}]*[\p{{Ll}}\p{{N}}$£€#(,;:/-])(?<={NOT_WORD}(?:{'|'.join(UNLESS_START)}|[ap]{MASK}m|т{MASK}[{SP}]?[дп]|u{MASK}[{SP}]?a)\.)"
+        rf"|(?=[{SP}](?:Ltd|Inc|KG|Corp))(?<={NOT_WORD}Co\.)|(?=[{SP}]?UU)(?<={NOT_WORD}EE\.)"
+        rf"|(?=[{SP}]?#?\p{{Lu}}{{0,3}}\p{{N}})(?<={NOT_WORD}(?:[Nn]os?|p)\.)|(?=[{SP}](?:{MONTHS})(?![\p{{L}}]))(?<=\p{{N}}\.))",
+        MASK,
+        ".",
+    ),
     # an ellipsis before a small letter, or one inside a sentence of a script without case
-    (rf"\.(?=\.+[{SP}]*\p{{Ll}})|(?<=\.)\.(?=[{SP}]*\p{{Ll}})|\x{{2026}}(?=\x{{2026}}*[{SP}]*\p{{Ll}})|(?<!\x{{2026}})\x{{2026}}(?=[\p{{Ll}}\p{{Lo}}])", MASK),
+    (rf"\.(?=\.+[{SP}]*\p{{Ll}})|\.(?<=\.\.)(?=[{SP}]*\p{{Ll}})", MASK, ".."),
+    (rf"\x{{2026}}(?=\x{{2026}}*[{SP}]*\p{{Ll}})|\x{{2026}}(?<!\x{{2026}}\x{{2026}})(?=[\p{{Ll}}\p{{Lo}}])", MASK, "\u2026"),
 ]
 _RUN = rf"[{LATIN_END}{FULL_END}]++"
 _INNER = rf"(?![{SP}]*+[,;:，、；：،؛])(?![{SP}]++[—–-]++[{SP}]++\p{{Ll}})"
@@ -63,35 +69,54 @@ _AFTER_CLOSE = rf"(?![{SP}]*+(?:\p{{Ll}}|[—–]|(?:{CARRY_ON})))"
 #: Behind these a mark is put: a run with closers; a run of full-width ends; a run of Latin ends
 #: before a blank, a quote or bracket, a letter of another script, or a capital after a small letter.
 ENDS = (
+    rf"(?![\p{{L}} ])(?=[{LATIN_END}{FULL_END}])(?:"  # most characters are letters and blanks: one look each
     rf"((?:{_RUN}{CLOSE}++)++(?:{_RUN})?+{SMILEY}?+){_INNER}{_AFTER_CLOSE}(?![\p{{Ll}}\p{{N}}])"
-    rf"|([{LATIN_END}{FULL_END}]*+(?<=[{FULL_END}])(?!{CLOSE}){SMILEY}?+){_INNER}"
-    rf"|([{LATIN_END}]++(?!{CLOSE}){SMILEY}?+){_INNER}(?=[\s{SP}]|$|\p{{Lo}}|[“„«「『（(\[【《¿¡\"]|(?<=[\p{{Ll}}\p{{Lo}}][{LATIN_END}]{{1,9}})\p{{Lu}})"
+    rf"|([{LATIN_END}{FULL_END}]++(?<=[{FULL_END}])(?!{CLOSE}){SMILEY}?+){_INNER}"
+    rf"|((?<=[\p{{Ll}}\p{{Lo}}])[{LATIN_END}]++(?=\p{{Lu}})|[{LATIN_END}]++(?!{CLOSE}){SMILEY}?+(?=[\s{SP}]|$|\p{{Lo}}|[“„«「『（(\[【《¿¡\"])){_INNER})"
 )
+#: Blanks that belong to no sentence.
+BLANKS = " \t\n\x0b\f\r\x85\u200b\ufeff\u2028\u2029\u00a0\u202f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 THAI = r"[\x{E01}-\x{E3A}\x{E40}-\x{E4E}]"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: inside a lambda a plain expression is computed per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _masked(pattern: str, put: str, needs: str | tuple[str, ...]) -> Callable[[Column], Column]:
+    """One mask; a text without the characters it is about is not searched."""
+    has = lambda t: reduce(lambda a, b: a | b, [t.contains(x) for x in ([needs] if isinstance(needs, str) else needs)])
+    return lambda t: F.when(has(t), F.regexp_replace(t, F.lit(pattern), F.lit(put))).otherwise(t)
+
+
 def marked(text: Column) -> Column:
     """The text with masked dots and a mark behind each sentence; unmarked, its length is unchanged."""
-    clean = F.translate(text, MASK + BREAK, "\ufffd\ufffd")
-    masked = reduce(lambda c, m: F.regexp_replace(c, F.lit(m[0]), F.lit(m[1])), MASKS, clean)
-    ends = F.regexp_replace(masked, ENDS, f"$1$2$3{BREAK}")
-    thai = F.regexp_replace(ends, rf"(?<={THAI})[{SP}]+(?={THAI})", f"$0{BREAK}")
+    out = F.translate(text, MASK + BREAK, "\ufffd\ufffd")
+    for mask in MASKS:
+        out = _let(out, _masked(*mask))
+    ends = F.regexp_replace(out, ENDS, f"$1$2$3{BREAK}")
+    thai = F.regexp_replace(ends, rf"[{SP}](?<={THAI}[{SP}])[{SP}]*+(?={THAI})", f"$0{BREAK}")
     return F.regexp_replace(thai, r"[\n\x0B\f\r\x{85}\x{2028}\x{2029}]+", f"{BREAK}$0")
 
 
+def _starts(sizes: Column, run: int = 256) -> Column:
+    """Where each of the parts begins, from their lengths: sums inside runs of parts and over the runs, so
+    the lists that grow are short (a list that grows by one element is copied each time)."""
+    grown = lambda xs, at, size: F.aggregate(xs, F.struct(at.alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, n: F.struct((acc["at"] + size(n)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+    zero = F.lit(0)
+    runs = F.transform(F.sequence(zero, F.floor((F.size(sizes) - 1) / run).cast("int")), lambda c: F.slice(sizes, c * run + 1, run))
+    total = lambda r: F.aggregate(r, zero, lambda a, n: a + n)
+    at = lambda rs: grown(F.transform(rs, total), zero, lambda n: n)
+    return _let(runs, lambda rs: F.flatten(F.zip_with(rs, at(rs), lambda r, begin: grown(r, begin, lambda n: n))))
+
+
 def spans(text: Column) -> Column:
     """``array<struct<start, end>>`` of a text's sentences, in code points; ``end`` is exclusive."""
-    blank = rf"[\s{SP}\x{{200B}}\x{{FEFF}}\x{{85}}\x{{2028}}\x{{2029}}]+"
-    parts = F.transform(
-        F.split(marked(text), BREAK),
-        lambda p: F.struct(F.length(p).alias("n"), F.length(F.regexp_replace(p, f"{blank}$", "")).alias("to"), F.length(F.regexp_extract(p, f"^{blank}", 0)).alias("lead")),
-    )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    step = lambda acc, p: F.struct(
-        (acc["at"] + p["n"]).alias("at"),
-        F.when(p["to"] > 0, F.concat(acc["out"], F.array(F.struct((acc["at"] + p["lead"]).alias("start"), (acc["at"] + p["to"]).alias("end"))))).otherwise(acc["out"]).alias("out"),
-    )
-    return F.aggregate(parts, zero, step, lambda acc: acc["out"])
+    measured = lambda parts: F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), F.length(F.rtrim(p, F.lit(BLANKS))).alias("to"), (F.length(p) - F.length(F.ltrim(p, F.lit(BLANKS)))).alias("lead")))
+    placed = lambda ps: F.zip_with(ps, _starts(ps["n"]), lambda p, at: F.struct((at + p["lead"]).alias("start"), (at + p["to"]).alias("end"), p["to"].alias("to")))
+    kept = lambda ps: F.transform(F.filter(placed(ps), lambda x: x["to"] > 0), lambda x: F.struct(x["start"], x["end"]))
+    return _let(F.split(marked(text), BREAK), lambda parts: _let(measured(parts), kept))
 
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
