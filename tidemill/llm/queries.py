@@ -165,6 +165,13 @@ def p8_leaked_items(spark, d):
     return tiling.leaked_items(tiling.contained(table(spark, d, "documents"), table(spark, d, "eval_items")))
 
 
+@query
+def p8_covered(spark, d):
+    """Documents whose pieces of an item, of seven words or more in any order, make up half of it."""
+    pieces = tiling.contained(table(spark, d, "documents"), table(spark, d, "eval_items"), kinds=tiling.PIECES)
+    return tiling.covered(pieces, 0.5).select("doc_id", "item_id", F.round("coverage", 4).alias("coverage"))
+
+
 # -- 6 canonical values -------------------------------------------------------
 
 
