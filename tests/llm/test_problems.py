@@ -191,6 +191,25 @@ def test_3_dress_order_and_values(spark):
     assert collapse.copies(d.limit(0)).count() == 0
 
 
+def test_3_any_depth_arrays_and_long_names(spark):
+    name = "n" * 60
+    deep = lambda a, b, n: '{"k": ' * n + "{" + f'"x": "{a}", "y": "{b}"' + "}" + "}" * n
+    turned = lambda a, b, n: '{"k": ' * n + "{" + f'"y": "{b}", "x": "{a}"' + "}" + "}" * n
+    notice = lambda body: f'{{"a": {body}, "b": "1", "c": "2", "d": "3"}}'
+    rows = [notice(deep(1, 2, 9)), notice(turned(1, 2, 9)), notice(deep(2, 1, 9)), notice('[{"p": 1, "q": 2}, 3]'), notice('[{"q": 2, "p": 1}, 3]'), notice('[3, {"q": 2, "p": 1}]'),
+            f"{name}=1; b=2; c=3; d=4", f"d=4; c=3; b=2; {name.upper()}=1", notice(deep(1, 2, 2000)), notice(deep(1, 2, 2000)), '{"a": {"b": }', "x {y: {"]
+    d = spark.createDataFrame(list(enumerate(rows)), "row_id long, text string")
+    assert pairs(collapse.copies(d)) == {(0, 1), (3, 4), (6, 7), (8, 9)}
+
+
+def test_3_colliding_digests_are_told_apart_by_their_trees(spark):
+    rows = [(i, f"{'abc'[i % 3]} message {i % 5}", "s") for i in range(60)]
+    d = spark.createDataFrame(rows, "row_id long, text string, source string")
+    weak = lambda tree: F.md5(F.substring(tree, 1, 1))
+    assert pairs(collapse.copies(d, hash_=weak)) == pairs(collapse.copies(d)) and collapse.copies(d).count() == 45
+    assert pairs(collapse.collapse(d, hash_=weak)) == pairs(collapse.collapse(d)) and collapse.collapse(d).count() == 15
+
+
 def test_3_counts_and_other_sources(spark):
     d = spark.createDataFrame([(1, "a b", "UCI "), (2, "A, b", "nus"), (3, "a  b", "uci"), (4, "c", None)], "row_id long, text string, source string")
     rank = spark.createDataFrame([("UCI",), ("NUS",)], "source string")
