@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -32,10 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that setting is empty (tests, a laptop) a local folder is set.
+    Only where that setting is empty and the master is local (tests, a laptop) a local folder is set;
+    on a cluster it would lie on each machine's own disk, so there an empty setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "tidemill-checkpoints")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -49,11 +53,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, removed when this Python process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _places(spark).append(path)
+    return path
+
+
+def _places(spark: SparkSession) -> list[str]:
+    """The places to remove at exit; all of them are staged data that a rerun makes anew."""
+    if not _PLACES:
+        atexit.register(_remove, spark)
+    return _PLACES
+
+
+_PLACES: list[str] = []
+
+
+def _remove(spark: SparkSession) -> None:
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for place in _PLACES:
+            path = jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(conf).delete(path, True)
+    except Exception:  # the session has ended before: its owner removes the shared folder
+        pass
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` written as a table in the shared folder and read back.
 
     Unlike a checkpoint it is columnar and compressed, so a later branch reads only its columns.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

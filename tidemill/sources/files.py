@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import scratch
 
 NA = ("", " ", "NaN", "nan")
 
@@ -70,11 +70,6 @@ def by_split(df: DataFrame, path: str, column: str = "split") -> None:
     df.write.partitionBy(column).parquet(path)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def manifest(features: list[str], threshold: float, classes: list[str]) -> str:
     return json.dumps({"features": features, "threshold": threshold, "classes": classes}, ensure_ascii=False)
 
