@@ -102,6 +102,32 @@ def test_1_written_table_carries_decisions_to_the_next_batch(spark, tmp_path):
     assert state.groupBy("component").agg(F.first("rows").alias("n")).agg(F.sum("n")).collect()[0][0] == 1204
 
 
+def test_1_batches_end_like_one_and_keep_their_decisions(spark, tmp_path):
+    r = random.Random(21)
+    rows = [(i, r.choice([None, *range(60)]), r.choice([None, None, None, "train", "val"]), 1, r.randrange(100)) for i in range(400)]
+    rows += [(i, 100 + i // 3, None, 1, r.randrange(100)) for i in range(400, 1400)]
+    d = records(spark, [(i, g if i >= 400 or g is None else g, s if g is not None and g % 7 == 0 else None, c, at) for i, g, s, c, at in rows]).withColumn("at", F.timestamp_seconds("at")).withColumn("h", F.pmod("id", F.lit(700)))
+    kw = dict(split=F.col("s"), unclean=F.col("clean") == 0, latest="at")
+    batches = splits.by_arrival(d, "id", "at")
+    assert all(b.count() > 300 for b in batches) and sum(b.count() for b in batches) == 1400
+    claimed = splits.in_batches(batches, "id", ["g"], f"{tmp_path}/claims", **kw)
+    _, whole, _ = splits.component_table(d, "id", ["g"], **kw)
+    bad = lambda t: {x.node for x in t.where("status = 'quarantined'").collect()}
+    assert bad(claimed) == bad(whole) and bad(whole)
+    shares = {"train": 0.8, "val": 0.1, "test": 0.1}
+    end = splits.in_batches(batches, "id", ["g", "h"], f"{tmp_path}/ends", shares, **kw)
+    first = spark.read.parquet(f"{tmp_path}/ends/0").select("node", F.col("split").alias("before"))
+    changed = end.join(first, "node").where("split <> before")
+    assert changed.where("status <> 'quarantined'").count() == 0
+    got = {x.id: x.split for x in splits.assigned(d, "id", ["g", "h"], end, "at").collect()}
+    assert len(got) == 1400 and all(got[i] == got[i + 700] for i in range(700))
+    by = collections.defaultdict(set)
+    for x in d.collect():
+        by[x.g].add(got[x.id])
+    assert all(len(v) == 1 for g, v in by.items() if g is not None)
+    assert sum(x.n for x in splits.shares_reached(end).collect()) == 1400
+
+
 @pytest.mark.parametrize(("sizes", "shares", "want"), [
     ([2] * 50, (0.8, 0.1, 0.1), (10, 10)),  # every component is above one row in a hundred
     ([1] * 50, (0.8, 0.1, 0.1), (5, 5)),  # fewer than a hundred rows

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, table
+from ..session import scratch, table
 from . import canonical, collapse, leaks, lookalike, mixing, personal, sentences, splits, survivor, tiling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,13 +25,22 @@ SHARES = {"train": 0.8, "val": 0.1, "test": 0.1}
 
 
 def _p1(spark, d):
-    return dict(records=table(spark, d, "messages"), id_col="id", keys=["dup_group"], split=F.col("split"), unclean=F.col("is_clean_label") == 0, latest="loaded_at")
+    """The messages in two batches by arrival, and how they are read."""
+    m = table(spark, d, "messages").select("id", "dup_group", "split", "is_clean_label", "loaded_at", F.md5(F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))).alias("same_text"))
+    return splits.by_arrival(m, "id", "loaded_at"), dict(split=F.col("split"), unclean=F.col("is_clean_label") == 0, latest="loaded_at")
+
+
+def _p1_table(spark, d):
+    """Groups, and messages of the same text in different groups, linked and decided batch by batch."""
+    batches, how = _p1(spark, d)
+    return batches, splits.in_batches(batches, "id", ["dup_group", "same_text"], scratch(spark, "components"), SHARES, **how)
 
 
 @query
 def p1_found(spark, d):
-    """Groups that the component table quarantines."""
-    comp, nodes, _ = splits.component_table(**_p1(spark, d))
+    """Groups that the component table quarantines by what the rows of all batches claim."""
+    batches, how = _p1(spark, d)
+    nodes = splits.in_batches(batches, "id", ["dup_group"], scratch(spark, "components"), **how)
     found = nodes.where((F.col("status") == "quarantined") & F.col("node").startswith("dup_group\x1f"))
     return found.select(F.split("node", "\x1f")[1].cast("long").alias("dup_group"))
 
@@ -39,20 +48,16 @@ def p1_found(spark, d):
 @query
 def p1_assigned(spark, d):
     """Every message's split."""
-    rows, _ = splits.group_splits(shares=SHARES, **_p1(spark, d))
-    return rows
+    batches, nodes = _p1_table(spark, d)
+    return splits.assigned(batches[0].unionByName(batches[1]), "id", ["dup_group", "same_text"], nodes, "loaded_at")
 
 
 @query
 def p1_shares(spark, d):
-    """Rows and shares reached per split."""
-    _, comp = splits.group_splits(shares=SHARES, **_p1(spark, d))
-    n = comp.groupBy("split").agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("components"))
-    total = n.agg(F.sum("n").alias("total"))
-    return n.crossJoin(F.broadcast(total)).select("split", "n", "components", F.round(F.col("n") / F.col("total"), 4).alias("share"))
+    """Rows and shares reached per split, over both batches."""
+    return splits.shares_reached(_p1_table(spark, d)[1])
 
 
-_MESSAGES_ONCE = "SELECT id, arg_max(dup_group, loaded_at) dup_group, arg_max(split, loaded_at) split, arg_max(is_clean_label, loaded_at) is_clean_label FROM messages GROUP BY id"
 SQL["p1_found"] = """
 WITH m AS (SELECT DISTINCT id, dup_group, is_clean_label, CASE WHEN lower(trim(split)) IN ('train','training','trn','tr') THEN 'train'
   WHEN lower(trim(split)) IN ('val','valid','validation','dev','development','va') THEN 'val' WHEN lower(trim(split)) IN ('test','testing','tst','te') THEN 'test' END s FROM messages)

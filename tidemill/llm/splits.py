@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut
+from ..session import cut, stage
 
 SPLITS = ("train", "val", "test")
 #: The words read as one of the three splits, after trimming and lower-casing.
@@ -51,6 +51,11 @@ def distinct_records(df: DataFrame, id_col: str, fields: dict[str, Column], late
     return best.select(F.col("_id").alias(id_col), *[F.col(f"_m._f_{n}").alias(n) for n in fields])
 
 
+def _tag(key: str) -> Column:
+    """The node of a link key's value; null where there is none."""
+    return F.when(F.col(key).isNotNull(), F.concat_ws("\x1f", F.lit(key), F.col(key).cast("string")))
+
+
 def connect(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components: ``nodes(node)`` and ``edges(u, v)`` to ``(node, component)``.
 
@@ -88,8 +93,7 @@ def component_table(records: DataFrame, id_col: str, keys: Sequence[str], split:
     status)``, one row per node, and ``(id, component)``.  ``status`` is kept, new or quarantined.
     """
     none = F.lit(None).cast("string")
-    tag = lambda k: F.when(F.col(k).isNotNull(), F.concat_ws("\x1f", F.lit(k), F.col(k).cast("string")))
-    facts = distinct_records(records, id_col, {"nodes": F.array_compact(F.array(*[tag(k) for k in keys])), "claim": none if split is None else read_split(split), "unclean": F.lit(0) if unclean is None else F.coalesce(unclean.cast("int"), F.lit(0))}, latest)
+    facts = distinct_records(records, id_col, {"nodes": F.array_compact(F.array(*[_tag(k) for k in keys])), "claim": none if split is None else read_split(split), "unclean": F.lit(0) if unclean is None else F.coalesce(unclean.cast("int"), F.lit(0))}, latest)
     facts = facts.withColumn("nodes", F.when(F.size("nodes") > 0, F.col("nodes")).otherwise(F.array(F.concat_ws("\x1f", F.lit("id"), F.col(id_col).cast("string")))))
     facts = facts.withColumn("anchor", F.col("nodes")[0])
     bad = (F.col("unclean") == 1) & F.col("claim").isin("val", "test")
@@ -188,3 +192,43 @@ def group_splits(records: DataFrame, id_col: str, keys: Sequence[str], shares: d
         decided = cut(decided)
         state_table(nodes, decided).write.parquet(save)
     return where.join(decided.select("component", "status", "split"), "component").select(id_col, "split", "status"), decided
+
+
+def in_batches(batches: Sequence[DataFrame], id_col: str, keys: Sequence[str], folder: str, shares: dict[str, float] | None = None, **more) -> DataFrame:
+    """The component table after all batches, each one read against the table the batch before it wrote
+    below ``folder``.  Without ``shares`` nothing is decided: the table holds what the records claim, so
+    its quarantined components are those in which stored splits meet."""
+    table = None
+    for number, batch in enumerate(batches):
+        path = f"{folder}/{number}"
+        if shares is None:
+            _, nodes, _ = component_table(batch, id_col, keys, state=table, **more)
+            nodes.select("node", "component", "split", "status", "rows", "unclean_rows").write.parquet(path)
+        else:
+            group_splits(batch, id_col, keys, shares, save=path, state=table, **more)
+        table = batch.sparkSession.read.parquet(path)
+    return table
+
+
+def assigned(records: DataFrame, id_col: str, keys: Sequence[str], table: DataFrame, latest: str | None = None) -> DataFrame:
+    """``(id, split, status)`` of records by a component table that has seen them, in whichever batch."""
+    where = distinct_records(records, id_col, {"node": F.coalesce(*[_tag(k) for k in keys], F.concat_ws("\x1f", F.lit("id"), F.col(id_col).cast("string")))}, latest)
+    return where.join(table.select("node", "split", "status"), "node").select(id_col, "split", "status")
+
+
+def shares_reached(table: DataFrame) -> DataFrame:
+    """``(split, n, components, share)`` over all batches of a component table."""
+    n = table.groupBy("component").agg(F.first("split").alias("split"), F.first("rows").alias("rows")).groupBy("split").agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("components"))
+    total = n.agg(F.sum("n").alias("total"))
+    return n.crossJoin(F.broadcast(total)).select("split", "n", "components", F.round(F.col("n") / F.col("total"), 4).alias("share"))  # one row
+
+
+def by_arrival(records: DataFrame, id_col: str, at: str) -> list[DataFrame]:
+    """Two batches of records, each record once (its latest delivery), cut in the middle of the time over
+    which those came; a record that never says when is in the first."""
+    rest = [c for c in records.columns if c not in (id_col, at)]
+    once = records.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.struct(at, *rest)).alias("_m")).select(id_col, *[F.col("_m")[c].alias(c) for c in (at, *rest)])
+    once = stage(once, "records")
+    micros = F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(0))
+    middle = once.agg(F.floor((F.min(micros) + F.max(micros)) / 2).alias("m")).first()["m"] or 0  # one row
+    return [once.where(micros <= middle), once.where(micros > middle)]
