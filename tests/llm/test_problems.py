@@ -9,6 +9,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill.session import stage
 from tidemill.llm import canonical, collapse, leaks, lookalike, mixing, personal, sentences, splits, survivor, tiling
 
 LONG = "word " * 30_000
@@ -432,15 +433,32 @@ def test_9_blocks_hold_every_token_once(spark):
     for r in t.collect():
         want.update((r.source, x) for x in r.ids)
     got, sizes = collections.Counter(), collections.defaultdict(list)
-    for r in mixing.blocks(t, 64).collect():
+    order = collections.defaultdict(dict)
+    for r in mixing.numbered(stage(mixing.packed(d.repartition(7), 64)), 64).collect():
         got.update((r.source, x) for x in r.ids)
         sizes[r.source].append(len(r.ids))
+        order[r.source][r.block] = len(r.ids)
     assert got == want and all(sum(n != 64 for n in s) <= 1 for s in sizes.values())
+    for s, blocks in order.items():  # numbered without gaps, the short one last
+        assert sorted(blocks) == list(range(len(sizes[s]))) and all(n == 64 for b, n in blocks.items() if b < len(blocks) - 1)
     e = mixing.encoder(mixing.TOKENIZER)
     text = {r.doc_id: r.text for r in d.collect()}
     assert all(e.decode(list(r.ids)) == text[r.doc_id] for r in t.collect())
 
 
+def test_9_shards_are_drawn_alike_in_any_task():
+    quotas = [5000, 300, 0, 47]
+    whole = {h: (used.tolist(), take.tolist()) for h, used, take in mixing.draw(quotas, 32, 0, 10**9, 3)}
+    assert sorted(whole) == list(range(-(-sum(quotas) // 32)))
+    assert all(sum(take) == 32 for h, (_, take) in whole.items() if h < len(whole) - 1)
+    assert [sum(take[k] for _, take in whole.values()) for k in range(4)] == quotas
+    for h in range(1, len(whole)):
+        assert whole[h][0] == [u + t for u, t in zip(*whole[h - 1])]
+    assert {h: (u.tolist(), t.tolist()) for h, u, t in mixing.draw(quotas, 32, 17, 40, 3)} == {h: whole[h] for h in range(17, 40)}
+    huge = list(mixing.draw([7 * 10**12, 3 * 10**12], 2048, 10**9, 10**9 + 50, 3))  # 5,000 times a thousand million tokens
+    assert len(huge) == 50 and all(t.sum() == 2048 for _, _, t in huge) and abs(sum(t[0] for _, _, t in huge) / (50 * 2048) - 0.7) < 0.01
+
+
 def test_9_permutation_is_one_to_one(spark):
     for n in (1, 2, 5, 64, 1000):
         d = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(7).cast("long")).alias("p"))
@@ -454,7 +472,7 @@ def test_9_shares_and_caps(spark):
     cap = {"a": 1, "b": 2, "c": 1}
     assert out and all(n <= cap[s] for (s, _), n in uses.items())
     rep = {r.source: r for r in mixing.report(corpus(spark), targets, size=32, shard=50).collect()}
-    assert rep["gone"].met is False and rep["d"].target_share is None and rep["bad"].used_tokens == 0
+    assert rep["gone"].met is False and rep["a"].met is False and rep["bad"].met is True and rep["d"].target_share is None and rep["bad"].used_tokens == 0
     total = sum(len(r.ids) for r in out)
     for s in "abc":
         assert rep[s].used_tokens == sum(len(r.ids) for r in out if r.source == s)
