@@ -270,19 +270,25 @@ def test_4_labels_sources_and_ties(spark):
 
 
 def test_4_tied_bundles_match_brute_force(spark):
+    from datetime import datetime, timedelta
+
     r = random.Random(6)
-    rows = [(i, r.randrange(30), r.choice(["Good", "Bad", "who"]), "t", None, None, r.choice([None, "s1", "s2", "s3"]), r.choice([None, "b1", "b2"]), None) for i in range(200)]
+    at = lambda: r.choice([None, datetime(2020, 1, 1) + timedelta(days=r.randrange(3))])
+    rows = [(i, r.randrange(40), r.choice(["Good", "Bad", "who"]), "t", None, None, r.choice([None, "s1", "s2", "s3"]), r.choice([None, "b1", "b2", "b3"]), at()) for i in range(200)]
     m = survivor.ranked(members(spark, rows), rank(spark))
-    got = {x.dup_group: x.total for x in survivor.tied(m, "dup_group", F.col("sender"), F.col("brand"), F.col("field_priority"), "member_id").collect()}
+    bundles = [survivor.Bundle(n, {"v": F.col(n)}, F.col(n).isNotNull(), F.col("field_priority")) for n in ("sender", "brand")]
+    got = {x.dup_group: (x._sender and x._sender.v, x._brand and x._brand.v) for x in survivor.survivors(m, "dup_group", bundles, "loaded_at", "member_id", ties=[("sender", "brand")]).collect()}
     p = {"Good": 5, "Bad": 1, "who": survivor.LAST}
-    want = {}
+    want, greedy_breaks = {}, 0
     for g in {x[1] for x in rows}:
         own = [x for x in rows if x[1] == g]
-        best = lambda k, v: min(p[x[2]] for x in own if x[k] == v)
-        totals = [best(6, x[6]) + best(7, x[7]) for x in own if x[6] and x[7]]
-        if totals:
-            want[g] = min(totals)
-    assert got == want
+        cost = lambda x: (p[x[2]], -(x[8] - datetime(1900, 1, 1)).total_seconds() if x[8] else 9e18, x[0])
+        best = lambda k, v: min(cost(x) for x in own if (x[k] == v if v else x[k]))
+        pick = lambda k: min((x for x in own if x[k]), key=cost, default=[None] * 9)[k]
+        pairs_ = {(x[6], x[7]) for x in own if x[6] and x[7]}
+        want[g] = min(pairs_, key=lambda ab: (best(6, ab[0])[0] + best(7, ab[1])[0], best(6, ab[0]), best(7, ab[1]))) if pairs_ else (pick(6), pick(7))
+        greedy_breaks += bool(pairs_) and (pick(6), pick(7)) not in pairs_
+    assert got == want and greedy_breaks > 3
 
 
 # -- 5 ------------------------------------------------------------------------

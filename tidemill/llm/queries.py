@@ -106,6 +106,7 @@ def _p4(spark, d):
 
 @query
 def p4_found(spark, d):
+    """The three fields have no tie, so the root of the search is the solution of every group."""
     m = _p4(spark, d)
     spam, smishing = survivor.label_values(F.col("spam_label"), F.col("smishing_label"))
     bundles = [
@@ -124,10 +125,8 @@ def p4_survivors(spark, d):
     filled = lambda c: F.nullif(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), F.lit(""))
     text, sender, brand = (filled(F.col(c)) for c in ("text", "sender", "brand"))
     bundles = [survivor.Bundle(n, {"v": c}, c.isNotNull(), F.col("field_priority")) for n, c in (("text", text), ("sender", sender), ("brand", brand))]
-    out = survivor.survivors(m, "dup_group", bundles, "loaded_at", "member_id")
-    pair = survivor.tied(m, "dup_group", sender, brand, F.col("field_priority"), "member_id")
-    out = out.join(pair, "dup_group", "left")
-    return out.select("dup_group", F.col("_text.v").alias("text"), F.coalesce("a", "_sender.v").alias("sender"), F.coalesce("b", "_brand.v").alias("brand"))
+    out = survivor.survivors(m, "dup_group", bundles, "loaded_at", "member_id", ties=[("sender", "brand")])
+    return out.select("dup_group", F.col("_text.v").alias("text"), F.col("_sender.v").alias("sender"), F.col("_brand.v").alias("brand"))
 
 
 SQL["p4_found"] = r"""

@@ -3,14 +3,16 @@
 Fields that depend on each other form a bundle and are taken together from one member; a bundle's
 candidates are ranked by the trust of their source, then by recency, then by member id.  Functional
 dependencies tie bundles: with ``sender -> brand`` the surviving sender and brand must occur together
-in some member.  Without such a tie each bundle's best candidate is optimal on its own; with it the
-determinant's values are the branches, dropped where even the group's best dependent value cannot beat
-the greedy solution; all pairs are scored before that.  Tied values are ranked by trust and the least
-member id that holds the determinant, not by recency.
+in some member.  The choice is made by branch and bound.  The root relaxes the ties: one aggregation
+gives each bundle's best candidate, which bounds every solution and is the optimum where it keeps the
+ties (always, if there are none).  Only groups whose root breaks a tie are branched, over the distinct
+values of the tied bundles; the trust of the best member that holds both is the first incumbent, and
+values that cannot beat it even with the other bundle's best are cut before any pair is joined.
 
 Defined results: members delivered again count once; unknown sources rank last; nulls, blanks and
-unusable strings are no candidates; a bundle without candidates gives nulls (labels: -1); a group
-with one member is a group unless ``least`` says otherwise; null groups are left out.
+unusable strings are no candidates; a bundle without candidates gives nulls (labels: -1); a tie between
+values that never occur together leaves both as the root has them; a group with one member is a group
+unless ``least`` says otherwise; null groups are left out.
 """
 
 from __future__ import annotations
@@ -56,30 +58,48 @@ def label_values(spam: Column, smishing: Column) -> tuple[Column, Column]:
     return F.when(both, 1).otherwise(flag(spam)), F.when(both, 1).otherwise(flag(smishing))
 
 
-def survivors(members: DataFrame, group: str, bundles: list[Bundle], recency: str, member: str, extra: list[Column] = (), least: int = 1) -> DataFrame:
-    """One row per group with each bundle's best candidate; one map-side combined aggregation."""
+def _rank(priority: Column, recency: str, member: str) -> Column:
     recent = -F.coalesce(F.unix_micros(F.col(recency).cast("timestamp")), F.lit(-(2**62)))
-    aggs = [F.min(F.when(b.usable, F.struct(b.priority.alias("p"), recent.alias("t"), F.col(member).alias("m"), *[c.alias(n) for n, c in b.fields.items()]))).alias(f"_{b.name}") for b in bundles]
-    out = members.groupBy(group).agg(F.min(member).alias("_least"), F.max(member).alias("_most"), *aggs, *extra)
+    return F.struct(priority.alias("p"), recent.alias("t"), F.col(member).alias("m"))
+
+
+def survivors(members: DataFrame, group: str, bundles: list[Bundle], recency: str, member: str, extra: list[Column] = (), least: int = 1, ties: list[tuple[str, str]] = ()) -> DataFrame:
+    """One row per group with each bundle's candidate ``_<name>`` (``p, t, m`` and its fields) in the best
+    solution that keeps ``ties``, pairs of names of bundles (a bundle is in one tie at most)."""
+    by_name = {b.name: b for b in bundles}
+    at = {b.name: _rank(b.priority, recency, member) for b in bundles}
+    whole = lambda b: F.struct(*[at[b.name][c].alias(c) for c in "ptm"], *[c.alias(n) for n, c in b.fields.items()])
+    aggs = [F.min(F.when(b.usable, whole(b))).alias(f"_{b.name}") for b in bundles]
+    root = members.groupBy(group).agg(F.min(member).alias("_least"), F.max(member).alias("_most"), *aggs, *extra)
     if least > 1:  # two different ids are enough for two members
-        out = out.where("_least <> _most")
-    return out
+        root = root.where("_least <> _most")
+    for a, b in ties:
+        # both from one member: the tie holds; else the group is branched
+        broken = root.where(F.col(f"_{a}.m") != F.col(f"_{b}.m")).select(group)
+        best = tied(members.join(broken, group, "left_semi"), group, by_name[a], by_name[b], recency, member)
+        best = best.select(group, F.col("a").alias(f"_new_{a}"), F.col("b").alias(f"_new_{b}"))
+        root = root.join(best, group, "left").withColumns({f"_{n}": F.coalesce(f"_new_{n}", f"_{n}") for n in (a, b)}).drop(f"_new_{a}", f"_new_{b}")
+    return root
 
 
-def tied(members: DataFrame, group: str, a: Column, b: Column, priority: Column, member: str) -> DataFrame:
-    """The pair (a, b) of least summed priority that some member holds together, by branch and bound.
+def tied(members: DataFrame, group: str, a: Bundle, b: Bundle, recency: str, member: str) -> DataFrame:
+    """``(group, a, b, total)``: the values of two bundles that some member holds together, of least summed
+    priority; among equals by the rank of ``a``, then of ``b``.
 
-    Branches are the values of ``a``; a value's own priority plus the least priority of any ``b`` of
-    the group bounds what the branch can reach.  All tables are pre-aggregated per distinct value.
+    Each value counts with its best member.  All tables are pre-aggregated per distinct value.
     """
-    rows = members.select(F.col(group).alias("g"), a.alias("a"), b.alias("b"), priority.alias("p"), F.col(member).alias("m"))
-    of_a = rows.where("a is not null").groupBy("g", "a").agg(F.min("p").alias("pa"), F.min("m").alias("ma"))
-    of_b = rows.where("b is not null").groupBy("g", "b").agg(F.min("p").alias("pb"))
-    pairs = rows.where("a is not null and b is not null").groupBy("g", "a", "b").agg(F.lit(1).alias("_"))
-    whole = pairs.join(of_a, ["g", "a"]).join(of_b, ["g", "b"]).withColumn("total", F.col("pa").cast("long") + F.col("pb"))
-    bound = of_b.groupBy("g").agg(F.min("pb").alias("least_b"))
-    # incumbent: the branch of the most trusted a with its best attested b
-    incumbent = whole.groupBy("g").agg(F.min(F.struct("pa", "total")).alias("i")).select("g", F.col("i.total").alias("incumbent"))
-    alive = of_a.join(bound, "g").join(incumbent, "g").where(F.col("pa").cast("long") + F.col("least_b") <= F.col("incumbent")).select("g", "a")
-    best = whole.join(alive, ["g", "a"]).groupBy("g").agg(F.min(F.struct("total", "pa", "ma", "b", "a")).alias("w"))
-    return best.select(F.col("g").alias(group), F.col("w.a").alias("a"), F.col("w.b").alias("b"), F.col("w.total").alias("total"))
+    value = lambda x: F.when(x.usable, F.struct(*[c.alias(n) for n, c in x.fields.items()]))
+    rows = members.select(F.col(group).alias("g"), value(a).alias("a"), value(b).alias("b"), _rank(a.priority, recency, member).alias("ra"), _rank(b.priority, recency, member).alias("rb"))
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    # the bounds: what either bundle costs at least, and what the best member with both costs at most
+    bounds = rows.groupBy("g").agg(
+        F.min(F.when(F.col("a").isNotNull(), F.col("ra.p"))).cast("long").alias("least_a"), F.min(F.when(F.col("b").isNotNull(), F.col("rb.p"))).cast("long").alias("least_b"),
+        F.min(F.when(both, F.col("ra.p").cast("long") + F.col("rb.p"))).alias("incumbent"),
+    ).where("incumbent is not null")
+    alive = rows.join(bounds, "g")
+    of_a = alive.where(F.col("a").isNotNull() & (F.col("ra.p") + F.col("least_b") <= F.col("incumbent"))).groupBy("g", "a").agg(F.min("ra").alias("ra"))
+    of_b = alive.where(F.col("b").isNotNull() & (F.col("rb.p") + F.col("least_a") <= F.col("incumbent"))).groupBy("g", "b").agg(F.min("rb").alias("rb"))
+    pairs = alive.where(both).select("g", "a", "b").distinct().join(of_a, ["g", "a"]).join(of_b, ["g", "b"])
+    full = lambda r, v, x: F.struct(*[F.col(r)[c].alias(c) for c in "ptm"], *[F.col(v)[n].alias(n) for n in x.fields])
+    best = pairs.groupBy("g").agg(F.min(F.struct((F.col("ra.p").cast("long") + F.col("rb.p")).alias("total"), full("ra", "a", a).alias("a"), full("rb", "b", b).alias("b"))).alias("w"))
+    return best.select(F.col("g").alias(group), "w.a", "w.b", "w.total")
