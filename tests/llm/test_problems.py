@@ -361,6 +361,18 @@ def test_6_typed_values(spark):
     assert canonical.mapped(d, t.limit(0)).where("term_id <> 0").count() == 0
 
 
+def test_6_short_forms_of_any_list_aliases_and_blocks(spark, monkeypatch):
+    names = ["Harbour Insurance Group", "Harbour Cinema", "Quay Transport Authority", "Juniper Hospital", "Nimbus Broadband"]
+    t = spark.createDataFrame([(i, "brand", n) for i, n in enumerate(names, 1)], "term_id long, kind string, name string")
+    more = spark.createDataFrame([(5, "the cloud people"), (4, None), (99, "nobody")], "term_id long, alias string")
+    typed = {"Harbour Ins Grp": 1, "harbour IG": 1, "insurance group harbour": 1, "Quay Trnsprt Auth.": 3, "QUAY TA": 3, "Hosp. Juniper": 4, "Jun1per": 4, "Harbour": 0, "Cloud People": 5, "Nimbus BB": 5, "Broadband of Nimbus": 5, "Garage": 0}
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(typed)], "report_id long, brand string")
+    for size in (200_000, 2):  # one trie, and a trie per block
+        monkeypatch.setattr(canonical, "MAX_TERMS", size)
+        got = {r.value: r.term_id for r in canonical.mapped(d, t, fields=("brand",), more=more).collect()}
+        assert {v: got[v] for v in typed} == typed, size
+
+
 # -- 7 ------------------------------------------------------------------------
 
 

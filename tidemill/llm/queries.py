@@ -194,6 +194,14 @@ def p6_unmatched(spark, d):
     return _p6(spark, d).where("term_id = 0").groupBy("field_name", "value").agg(F.countDistinct("report_id").alias("reports"))
 
 
+@query
+def p6_candidates(spark, d):
+    """Every entry within the allowed distance of a typed value."""
+    terms = table(spark, d, "canon_terms")
+    found = canonical.candidates(canonical.unnamed(table(spark, d, "smishtank_reports"), terms), terms)
+    return found.select(F.col("kind").alias("field_name"), "value", F.explode("found").alias("x")).where("x.term_id > 0").select("field_name", "value", "x.term_id", "x.distance")
+
+
 _BOUND = "(\\p{N})%s(\\p{N})"  # a dot or comma between two digits becomes a letter; twice, for 1.2.3
 _LETTERS = "lower(upper(text))"
 for _sign, _letter in (("[.]", "ʬ"), ("[.]", "ʬ"), ("[,]", "ʭ"), ("[,]", "ʭ")):
