@@ -246,13 +246,13 @@ def p10_sentences(spark, d):
 # -- 5 personal information ---------------------------------------------------
 
 
-def _p5(spark, d):
-    return personal.scan(table(spark, d, "messages"))
+def _p5(spark, d, redact=True):
+    return personal.scan(table(spark, d, "messages"), redact=redact)
 
 
 @query
 def p5_found(spark, d):
-    return personal.listed(_p5(spark, d))
+    return personal.listed(_p5(spark, d, redact=False))
 
 
 @query
