@@ -425,6 +425,21 @@ def test_7_same_and_different(spark):
     assert lookalike.alike(d.limit(0)).count() == 0
 
 
+def test_7_more_lookalikes_by_file_and_long_texts_in_pieces(spark, tmp_path, monkeypatch):
+    (tmp_path / "c.txt").write_text("\ufeff# confusables\n0261 ;\t0067 ;\tMA\t# x\n13B3 ; 0057 ; MA\n2C99 ; 2C98 ; MA\n2C98 ; 004D ; MA\n0031 ; 006C ; MA\n")
+    more = lookalike.confusables(str(tmp_path / "c.txt"))
+    assert ("1", "l") not in more and len(more) == 4
+    texts = ["ⲙy", "My", "1", "l", "ραyραl", "paypal", "ꓑAY", "PAY"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    form = {r.id: r.form for r in lookalike.one_form(d, more=more).collect()}
+    assert form[0] == form[1] and form[2] != form[3] and form[4] == form[5] and form[6] == form[7]
+    monkeypatch.setattr(lookalike, "PIECE", 3)
+    texts = ["a\u0323\u0302" * 7, "a\u200b\u0302\u0323" * 7, "ｘ" * 50, "\u1112\u1161\u11ab" * 5, "한" * 5, "é" * 9 + "  \n e\u0301"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    form = {r.id: r.form for r in lookalike.one_form(d).collect()}
+    assert form[0] == form[1] == "ậ" * 7 and form[2] == "x" * 50 and form[3] == form[4] == "한" * 5 and form[5] == "é" * 9 + "\né"
+
+
 # -- 8 ------------------------------------------------------------------------
 
 

@@ -40,7 +40,7 @@ def counted_words(text: Column) -> Column:
     """The words of a text that count, in order: no links, amounts, codes, numbers, case or signs."""
     low = F.lower(F.upper(text))
     low = F.regexp_replace(low, LINK, " ")
-    low = F.regexp_replace(low, rf"{CURRENCY}\s*(?=\d)|(?<=\d)\s*{CURRENCY}(?![\p{{L}}\p{{N}}])", " 0 ")
+    low = F.regexp_replace(low, rf"(?=[uegiacdp]){CURRENCY}\s*(?=\d)|(?<=\d)\s*{CURRENCY}(?![\p{{L}}\p{{N}}])", " 0 ")
     return F.filter(F.split(low, r"[^\p{L}\p{M}\p{N}]+"), lambda w: (F.length(w) > 0) & ~w.rlike(r"\p{N}"))
 
 
@@ -138,8 +138,9 @@ def overlaps(rows: DataFrame, id_col: str = "id", text_col: str = "text", split_
     """
     read = rows.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"), read_split(F.col(split_col)).alias("split"), *keep)
     read = read.where(F.col("split").isNotNull()).dropDuplicates(["id"])
-    members = read.select("id", "split", *keep, counted_words(F.col("_t")).alias("words")).where(F.size("words") > 0)
-    members = stage(members.withColumn("cls", F.unhex(F.md5(F.array_join("words", " ")))), "members")
+    members = read.select("id", "split", *keep, counted_words(F.col("_t")).alias("words"))
+    # the filter comes behind the written table: pushed below the words it would compute them again
+    members = stage(members.withColumn("cls", F.unhex(F.md5(F.array_join("words", " ")))), "members").where(F.size("words") > 0)
     eval_ = F.col("split") != "train"
     cls = members.groupBy("cls").agg(F.max(eval_.cast("int")).alias("e"), F.max((~eval_).cast("int")).alias("t"), F.first("words").alias("words"))
     cls = with_bits(cls.select("cls", "e", "t", "words", F.size("words").alias("n")))
