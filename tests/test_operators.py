@@ -74,7 +74,7 @@ def test_per_class_counts_not_doubled(spark):
 
 def test_bootstrap_is_reproducible_and_covers(spark):
     d = spark.createDataFrame([(i, 1, 1.0 if i % 4 else 0.0) for i in range(400)], "id long, y int, s double")
-    a, b = (metrics.bootstrap(d, "id", "y", "s", 0.5, rounds=200).first() for _ in range(2))
+    a, b = (metrics.bootstrap(d, "y", "s", 0.5, rounds=200).first() for _ in range(2))
     assert a == b and a[0] < 0.75 < a[1] and 0.05 < a[1] - a[0] < 0.13
 
 

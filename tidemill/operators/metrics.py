@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Ranges over which cumulative counts are split.
-RANGES = 4096
+RANGES = 256
 
 
 def score_groups(df: DataFrame, y: str, score: str) -> DataFrame:
@@ -19,19 +21,21 @@ def score_groups(df: DataFrame, y: str, score: str) -> DataFrame:
 def running(groups: DataFrame, cols: list[str], order: str = "s", descending: bool = False) -> DataFrame:
     """``groups`` with ``cum_<col>``: sums over all groups up to and including this one.
 
-    Two levels: inside value ranges, and over the at most RANGES range sums, so no task sees all groups.
+    Two levels: inside ranges that hold about the same number of groups wherever the values lie (cut at
+    approximate quantiles), and over the at most RANGES range sums, so no task sees all groups.
     """
-    ends = groups.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    g = groups.crossJoin(F.broadcast(ends))  # one row
-    width = F.try_divide(F.col(order) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    g = g.withColumn("_r", F.least(F.floor(F.coalesce(width, F.lit(0.0)) * RANGES), F.lit(RANGES - 1).cast("long")) * (-1 if descending else 1))
+    cuts = groups.agg(F.percentile_approx(order, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), RANGES * 4).alias("_cuts"))
+    g = groups.crossJoin(F.broadcast(cuts))  # one row of at most RANGES numbers
+    # the range of a value is the number of cuts up to it: a sorted array is searched by halves
+    place = F.call_function("array_position", F.array_sort(F.array_append("_cuts", F.col(order))), F.col(order)) - 1
+    g = g.withColumn("_r", F.coalesce(place, F.lit(0)).cast("long") * (-1 if descending else 1)).drop("_cuts")
     sums = g.groupBy("_r").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_r", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in cols])
     key = F.desc(order) if descending else F.asc(order)
     inside = Window.partitionBy("_r").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     g = g.withColumns({f"_i_{c}": F.sum(c).over(inside) for c in cols}).join(F.broadcast(sums), "_r")  # at most RANGES rows
-    return g.withColumns({f"cum_{c}": F.col(f"_b_{c}") + F.col(f"_i_{c}") for c in cols}).drop("_r", "_lo", "_hi", *[f"_{k}_{c}" for c in cols for k in "bi"])
+    return g.withColumns({f"cum_{c}": F.col(f"_b_{c}") + F.col(f"_i_{c}") for c in cols}).drop("_r", *[f"_{k}_{c}" for c in cols for k in "bi"])
 
 
 def auc(df: DataFrame, y: str, score: str) -> DataFrame:
@@ -105,17 +109,37 @@ def averages(classes: DataFrame) -> DataFrame:
     return macro.unionByName(weighted)
 
 
-def bootstrap(df: DataFrame, id_col: str, y: str, score: str, threshold: float, rounds: int = 200, seed: int = 200) -> DataFrame:
-    """2.5 and 97.5 % percentiles of the recall over Poisson(1) resamples weighted by hash; rows are
-    pre-aggregated to (round, hit) counts, so the shuffle carries ``4 * rounds`` rows a task."""
-    u = lambda b: (F.pmod(F.xxhash64(F.col(id_col), b, F.lit(seed)), F.lit(1 << 24)) + 0.5) / (1 << 24)
+def poisson_weight(u: Column, most: int = 8) -> Column:
+    """The Poisson(1) weight of a uniform number in (0, 1): how often a row is drawn with replacement."""
     cut, p, acc = [], 0.36787944117144233, 0.0
-    for k in range(8):
+    for k in range(most):
         acc += p
         cut.append(acc)
         p /= k + 1
-    d = df.select(id_col, y, (F.col(score) >= threshold).cast("int").alias("hit"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b"))
-    weight = sum(((u(F.col("b")) > c).cast("int") for c in cut[1:]), (u(F.col("b")) > cut[0]).cast("int"))
-    agg = d.where(F.col(y) == 1).withColumn("w", weight).groupBy("b").agg(F.sum(F.col("w") * F.col("hit")).alias("tp"), F.sum("w").alias("n")).where("n > 0")
-    q = agg.select((F.col("tp") / F.col("n")).alias("recall"))
+    return sum(((u > c).cast("int") for c in cut[1:]), (u > cut[0]).cast("int"))
+
+
+def bootstrap(df: DataFrame, y: str, score: str, threshold: float, rounds: int = 1000, seed: int = 200) -> DataFrame:
+    """2.5 and 97.5 % percentiles of the recall over resamples of Poisson(1) weights.
+
+    The weights of n rows sum to a Poisson(n) number, so a resample needs the counts of hits and misses
+    only: rows are counted once, and each round draws its two sums.
+    """
+    hit = F.col(score) >= threshold
+    counts = df.where(F.col(y) == 1).agg(F.count(F.when(hit, 1)).alias("hits"), F.count(F.when(~hit, 1)).alias("misses"))
+
+    @F.pandas_udf("long")
+    def drawn(n: pd.Series, b: pd.Series, which: pd.Series) -> pd.Series:
+        return pd.Series([int(np.random.default_rng((seed, int(r), int(w))).poisson(int(m))) for m, r, w in zip(n, b, which)])
+
+    each = counts.select("hits", "misses", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b"))
+    each = each.select(drawn("hits", "b", F.lit(0)).alias("tp"), drawn("misses", "b", F.lit(1)).alias("fn"))
+    q = each.where("tp + fn > 0").select((F.col("tp") / (F.col("tp") + F.col("fn"))).alias("recall"))
     return q.agg(F.percentile("recall", F.array(F.lit(0.025), F.lit(0.975))).alias("p")).select(F.col("p")[0].alias("recall_lo"), F.col("p")[1].alias("recall_hi"))
+
+
+def paired(df: DataFrame, truth: str, a: str, b: str, name_a: str, name_b: str) -> DataFrame:
+    """Two columns judged by a third over identical rows: how often each is right, and right alone."""
+    n = lambda c: F.count(F.when(c, 1))
+    right_a, right_b = F.col(a) == F.col(truth), F.col(b) == F.col(truth)
+    return df.agg(F.count(F.lit(1)).alias("n"), n(right_a).alias(f"{name_a}_right"), n(right_b).alias(f"{name_b}_right"), n(right_a & ~right_b).alias(f"{name_a}_only"), n(right_b & ~right_a).alias(f"{name_b}_only"))

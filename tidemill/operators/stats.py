@@ -6,13 +6,45 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .metrics import running
 
 
+def percentiles(df: DataFrame, x: str, points: list[float], *by: str) -> DataFrame:
+    """``(*by, q)``: exact percentiles by linear interpolation, as an array.
+
+    Values are counted, the counts summed up over quantile ranges, and the two order statistics around
+    each point picked, so no task holds a group's values.  Groups of ``by`` are few.
+    """
+    keys = list(by)
+    v = df.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = v.groupBy(*keys).agg(F.percentile_approx("_x", F.array(*[F.lit(i / 64) for i in range(1, 64)]), 1024).alias("_cuts"), F.sum("_n").alias("_total"))
+    v = joined(v, cuts, keys).withColumn("_r", F.array_position(F.array_sort(F.array_append("_cuts", F.col("_x"))), F.col("_x")))
+    per = v.groupBy(*keys, "_r").agg(F.sum("_n").alias("_m"))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    v = v.join(per.select(*keys, "_r", before.alias("_b")), [*keys, "_r"]) if keys else v.join(F.broadcast(per.select("_r", before.alias("_b"))), "_r")
+    inside = F.sum("_n").over(Window.partitionBy(*keys, "_r").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    v = v.withColumn("_end", F.col("_b") + inside)  # values up to and including this one
+    picks = []
+    for i, q in enumerate(points):
+        at = F.lit(q) * (F.col("_total") - 1)
+        holds = lambda k: (F.col("_end") > k) & (F.col("_end") - F.col("_n") <= k)
+        low, high = F.max(F.when(holds(F.floor(at)), F.col("_x"))), F.max(F.when(holds(F.ceil(at)), F.col("_x")))
+        share = F.max(at - F.floor(at))
+        picks.append((low + (high - low) * share).alias(f"_q{i}"))
+    out = v.groupBy(*keys).agg(*picks)
+    return out.select(*keys, F.array(*[f"_q{i}" for i in range(len(points))]).alias("q"))
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``right`` joined on keys, or its one row attached where there are none."""
+    return left.join(right, keys) if keys else left.crossJoin(F.broadcast(right))
+
+
 def quartiles(df: DataFrame, x: str, *by: str) -> DataFrame:
-    """Exact quartiles (linear interpolation) and the spread as text."""
-    q = df.groupBy(*by).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    """Exact quartiles (linear interpolation)."""
+    q = percentiles(df, x, [0.25, 0.5, 0.75], *by)
     return q.select(*by, *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
 
 
@@ -49,14 +81,16 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     ra = t.groupBy(a).agg(F.sum("count").alias("ra"))
     cb = t.groupBy(b).agg(F.sum("count").alias("cb"))
     n = t.agg(F.sum("count").alias("n"))
-    cells = ra.crossJoin(cb).join(t, [a, b], "left").crossJoin(F.broadcast(n)).withColumn("o", F.coalesce("count", F.lit(0)))  # categories x categories
-    e = F.col("ra") * F.col("cb") / F.col("n").cast("double")
-    return cells.agg(F.round(F.sum((F.col("o") - e) * (F.col("o") - e) / e), 4).alias("chi2"), ((F.countDistinct(a) - 1) * (F.countDistinct(b) - 1)).alias("dof"))
+    # over all cells, empty ones too, sum (o - e)^2 / e = n * (sum o^2 / (row * column) - 1)
+    o = t.join(ra, a).join(cb, b).agg(F.sum(F.col("count").cast("double") * F.col("count") / (F.col("ra").cast("double") * F.col("cb"))).alias("s"))
+    dof = ra.agg(F.count(F.lit(1)).alias("ka")).crossJoin(F.broadcast(cb.agg(F.count(F.lit(1)).alias("kb"))))  # one row each
+    one = o.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(dof))
+    return one.select(F.round(F.col("n") * (F.col("s") - 1), 4).alias("chi2"), ((F.col("ka") - 1) * (F.col("kb") - 1)).alias("dof"))
 
 
 def digitised(df: DataFrame, x: str, out: str) -> DataFrame:
     """``out``: the quartile bin of x (1..4; a value on an edge falls below it, the minimum into 0)."""
-    e = df.agg(F.percentile(x, F.array(*[F.lit(v) for v in (0.0, 0.25, 0.5, 0.75)])).alias("_e"))
+    e = percentiles(df, x, [0.0, 0.25, 0.5, 0.75]).withColumnRenamed("q", "_e")
     d = df.crossJoin(F.broadcast(e))  # one row
     return d.withColumn(out, sum(((F.col(x) > F.col("_e")[i]).cast("int") for i in range(1, 4)), (F.col(x) > F.col("_e")[0]).cast("int"))).drop("_e")
 

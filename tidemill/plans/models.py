@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
@@ -9,9 +13,12 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import metrics
+
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     """``weight`` = n / (classes * n of the class)."""
@@ -32,18 +39,86 @@ def unaccented(s: Column) -> Column:
 
 
 def tfidf(text: str = "text", size: int = 5000, min_df: int = 3) -> Pipeline:
-    """1- and 2-grams, sublinear term counts, smoothed idf, unit length; fit on training rows only."""
+    """Counts of 1- and 2-grams and their document frequencies."""
     return Pipeline(
         stages=[
             RegexTokenizer(inputCol=text, outputCol="_uni", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False),
             NGram(n=2, inputCol="_uni", outputCol="_bi"),
             SQLTransformer(statement="SELECT *, concat(_uni, _bi) AS _grams FROM __THIS__"),
             CountVectorizer(inputCol="_grams", outputCol="_counts", vocabSize=size, minDF=min_df),
-            IDF(inputCol="_counts", outputCol="tfidf"),
+            IDF(inputCol="_counts", outputCol="_idf"),
         ]
     )
 
 
+def tfidf_fit(train: DataFrame, **more) -> Callable[[DataFrame], DataFrame]:
+    """Sublinear counts (1 + ln), smoothed idf + 1, unit length: fitted on training rows only; the result
+    adds ``tfidf`` to a table.  MLlib has no sublinear counts, so sparse vectors pass through a function."""
+    fit = tfidf(**more).fit(train)
+    idf = fit.stages[-1].idf.toArray() + 1.0
+
+    @F.udf(VectorUDT())
+    def weigh(v):
+        x = (1.0 + np.log(v.values)) * idf[v.indices]
+        n = float(np.sqrt((x * x).sum())) or 1.0
+        return Vectors.sparse(v.size, v.indices, x / n)
+
+    return lambda df: fit.transform(df).withColumn("tfidf", weigh("_counts")).drop("_uni", "_bi", "_grams", "_counts", "_idf")
+
+
+def arm_metrics(arm: str, fitted: DataFrame, held_out: DataFrame, y: str, score: str, recall: float = 0.95) -> DataFrame:
+    """One row of the result table: the threshold that keeps ``recall`` on the rows the arm was fitted on,
+    and area, average precision, confusion and rates of the held-out rows under it."""
+    t = metrics.recall_threshold(fitted, y, score, recall)
+    flagged = held_out.crossJoin(F.broadcast(t))  # one row
+    c = metrics.rates(metrics.confusion(flagged, y, F.col(score) >= F.col("threshold")))
+    one = metrics.auc(held_out, y, score).select("auc").crossJoin(metrics.average_precision(held_out, y, score)).crossJoin(c).crossJoin(t)  # one row each
+    return one.select(F.lit(arm).alias("arm"), *[F.col(x) for x in ("auc", "ap", "recall", "specificity", "precision", "fp", "fn", "threshold")])
+
+
+def save(model, path: str, manifest: str) -> None:
+    """A fitted model and its manifest (feature order, threshold, classes) beside it."""
+    model.write().save(f"{path}/model")
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.text(f"{path}/manifest")
+
+
+def load(spark: SparkSession, path: str) -> tuple:
+    """The model and its manifest; the model's class is read from its own metadata."""
+    from pyspark.ml.util import DefaultParamsReader
+
+    return DefaultParamsReader.loadParamsInstance(f"{path}/model", spark.sparkContext), json.loads("".join(r[0] for r in spark.read.text(f"{path}/manifest").collect()))  # one line
+
+
+def importances(model, names: list[str], spark: SparkSession) -> DataFrame:
+    """``(feature, importance)`` of a tree model, one row per feature."""
+    return spark.createDataFrame([(n, float(x)) for n, x in zip(names, model.featureImportances.toArray())], "feature string, importance double")
+
+
+def choice(reply: Column, choices: list[str], fallback: str) -> Column:
+    """The offered choice a reply names by its letter (``B)``, ``(c)``, ``it is A.``), or the fallback."""
+    letters = "".join(chr(97 + i) for i in range(len(choices)))
+    letter = F.upper(F.regexp_extract(reply, rf"(?i)(?:^|[^\p{{L}}\p{{N}}])([{letters}])(?:[).:]|$)", 1))
+    out = F.lit(fallback)
+    for i, c in enumerate(choices):
+        out = F.when(letter == chr(65 + i), c).otherwise(out)
+    return out
+
+
+def constrained(prompts: DataFrame, scorer: Callable[[list[str], list[str]], "np.ndarray"], choices: list[str], prompt: str = "prompt") -> DataFrame:
+    """``prompts`` with the best ``choice`` and its ``share``: ``scorer`` gives one score per prompt and choice
+    (log probabilities of a language model, say); it is called once per Arrow batch."""
+
+    @F.pandas_udf("choice string, share double")
+    def run(s: pd.Series) -> pd.DataFrame:
+        x = np.asarray(scorer(s.fillna("").tolist(), choices), float)
+        e = np.exp(x - x.max(axis=1, keepdims=True))
+        p, k = e / e.sum(axis=1, keepdims=True), x.argmax(axis=1)
+        return pd.DataFrame({"choice": [choices[i] for i in k], "share": p[np.arange(len(k)), k]})
+
+    return prompts.withColumn("_c", run(prompt)).select("*", "_c.choice", "_c.share").drop("_c")
+
+
 def probability(model, df: DataFrame, out: str = "prob") -> DataFrame:
     return model.transform(df).withColumn(out, vector_to_array("probability")[1])
 

@@ -18,13 +18,13 @@ from pyspark.sql.window import Window
 from .functions import features as X
 from .functions import text as T
 from .functions.wordpiece import wordpiece
-from .operators import corpus, metrics, sampling, stats
+from .operators import corpus, joins, metrics, sampling, stats
 from .operators.ids import first_seen_ids
 from .plans import models
 from .session import table
 from .sources import archives, files
 from .streaming import score as streaming
-from .vocabulary import FAMILIES, KEYWORDS, KNOWN_TLDS, LINK_TLDS, MISMATCH_BRANDS, SHORTENERS, SPACE, SUSPICIOUS_TLDS, TYPES, URL_PARTS
+from .vocabulary import CATEGORY_TYPE, FAMILIES, KEYWORDS, KNOWN_TLDS, LINK_TLDS, MISMATCH_BRANDS, SHORTENERS, SPACE, SUSPICIOUS_TLDS, TYPES, URL_PARTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,9 +70,10 @@ HAS_URL = lambda c: rf"CAST(regexp_matches({c}, '(?i)(https?://|www\.|(^|[^\p{{L
 SCORE = "CAST(" + " + ".join(f"CAST(contains(lower(coalesce(text, '')), {q(k)}) AS INT)" for k in KEYWORDS) + " AS INT)"
 ONCE = "m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) rn FROM messages) WHERE rn = 1)"
 SCORED = f"{ONCE}, s AS (SELECT *, scam y, CAST({SCORE} * 7 + length(text) % 5 AS DOUBLE) score FROM m WHERE scam IS NOT NULL)"
-RAW = rf"""k AS (SELECT s.*, lower(trim(s.source)) source_key, r.source proper, r.label_priority, r.field_priority, r.leaky, lower(trim(spam_label)) w, trim(smishing_label) mk,
+RAW = rf"""k AS (SELECT s.*, lower(trim(s.source)) source_key, r.source proper, r.source_link, r.label_priority, r.field_priority, r.leaky, lower(trim(spam_label)) w, trim(smishing_label) mk,
   {CLEAN('text')} ctext FROM source_rows s JOIN source_rank r ON lower(trim(s.source)) = lower(trim(r.source))),
-n AS (SELECT row_id seq, proper source, source_key, ctext AS text, label_priority, field_priority, leaky, sender, brand, category, received_at,
+n AS (SELECT CAST(CASE source_key WHEN 'smishtank' THEN 0 WHEN 'smishing_dataset' THEN 1 WHEN 'nus sms corpus' THEN 2 WHEN 'mendeley sms phishing' THEN 3 WHEN 'uci sms spam collection' THEN 4 ELSE 5 END AS BIGINT) * 1000000000000 + row_id seq, proper source, source_key, ctext AS text, label_priority, field_priority, leaky, sender, brand, category, source_id, sender_type, source_link, strftime(received_at, '%Y-%m-%d') msg_date,
+  CASE WHEN trim(coalesce(category, '')) = '' THEN '' ELSE 'other' END scam_type, {HAS_URL('ctext')} has_url,
   CASE WHEN source_key = 'smishtank' THEN 1 WHEN source_key = 'nus sms corpus' THEN 0
     WHEN source_key IN ('mendeley sms phishing','uci sms spam collection') THEN CASE w WHEN 'ham' THEN 0 WHEN 'spam' THEN 1 WHEN 'smishing' THEN 1 END
     WHEN w = 'smishing' THEN 1 WHEN coalesce(w, '') = '' THEN CASE WHEN mk = '1' THEN 1 END WHEN w IN ('0','1') THEN CAST(w AS INT) END spam,
@@ -82,9 +83,9 @@ n AS (SELECT row_id seq, proper source, source_key, ctext AS text, label_priorit
   CASE WHEN source_key IN ('smishtank','nus sms corpus') THEN false WHEN source_key IN ('mendeley sms phishing','uci sms spam collection') THEN coalesce(w NOT IN ('ham','spam','smishing'), true)
     ELSE NOT (coalesce(w, '') IN ('', '0', '1', 'smishing')) END bad FROM k)"""
 DEDUPED = rf"""{RAW}, kept AS (SELECT *, {KEY('text')} key FROM n WHERE length(text) > 0 AND NOT bad),
-g AS (SELECT key, min(seq) first_seq, count(*) dup_count, arg_min(spam, label_priority * 1e12 + seq) FILTER (WHERE spam IS NOT NULL) spam, arg_min(smish, label_priority * 1e12 + seq) FILTER (WHERE smish IS NOT NULL) smish,
-  arg_min(seq, field_priority * 1e12 + seq) fseq, list_sort(list(DISTINCT source)) srcs, CAST(min(leaky) = 0 AS INT) is_clean_label, CAST(coalesce(min(spam) <> max(spam), false) AS INT) label_conflict FROM kept GROUP BY key),
-d AS (SELECT g.*, f.text, f.source, f.sender, f.brand, f.category FROM g JOIN kept f ON f.seq = g.fseq)"""
+g AS (SELECT key, min(seq) first_seq, count(*) dup_count, arg_min(spam, label_priority * 1e14 + seq) FILTER (WHERE spam IS NOT NULL) spam, arg_min(smish, label_priority * 1e14 + seq) FILTER (WHERE smish IS NOT NULL) smish,
+  arg_min(seq, field_priority * 1e14 + seq) fseq, list_sort(list(DISTINCT source)) srcs, CAST(min(leaky) = 0 AS INT) is_clean_label, CAST(coalesce(min(spam) <> max(spam), false) AS INT) label_conflict FROM kept GROUP BY key),
+d AS (SELECT g.*, f.text, f.source, f.sender, f.brand, f.category, f.source_id, f.sender_type, f.source_link, f.msg_date, f.scam_type, f.has_url FROM g JOIN kept f ON f.seq = g.fseq)"""
 RESOLVED = f"""{DEDUPED}, r0 AS (SELECT *, CASE WHEN spam = 0 AND smish = 1 THEN 1 WHEN spam = 1 AND smish IS NULL THEN 2 WHEN spam IS NULL THEN 3 ELSE 0 END rule, coalesce(smish, 0) sm FROM d),
 r AS (SELECT *, CASE WHEN sm = 1 THEN 'smishing' WHEN CASE rule WHEN 1 THEN 1 WHEN 3 THEN sm ELSE spam END = 1 THEN 'spam' ELSE 'ham' END lab FROM r0)"""
 _TEMPLATE = rf"regexp_replace(regexp_replace(regexp_replace(lower(text), '(https?://[^{SPACE}]+|www\.[^{SPACE}]+)', ' urltoken ', 'g'), '(^|[^\p{{L}}\p{{N}}_])[a-z0-9-]+\.[a-z]{{2,}}(/[^{SPACE}]*)?', '\1 urltoken ', 'g'), '\p{{Nd}}+', ' numtoken ', 'g')"
@@ -103,9 +104,12 @@ def d2(spark, d):
     return corpus.deduplicated(corpus.kept(raw(spark, d))).select("first_seq", "spam", "smish")
 
 
-@add("d3_field_survivorship", f"WITH {DEDUPED} SELECT first_seq, text, source, sender, brand, category FROM d")
+_SURVIVORS = ["first_seq", "text", "source", "sender", "brand", "category", "source_id", "sender_type", "source_link", "msg_date", "scam_type", "has_url"]
+
+
+@add("d3_field_survivorship", f"WITH {DEDUPED} SELECT {', '.join(_SURVIVORS)} FROM d")
 def d3(spark, d):
-    return corpus.deduplicated(corpus.kept(raw(spark, d))).select("first_seq", "text", "source", "sender", "brand", "category")
+    return corpus.deduplicated(corpus.kept(raw(spark, d))).select(*_SURVIVORS)
 
 
 @add("d4_group_aggregates", f"WITH {DEDUPED} SELECT first_seq, dup_count, CAST(len(srcs) AS INT) n_sources, label_conflict FROM d")
@@ -223,17 +227,21 @@ def proj11(spark, d):
     return corpus.resolved(corpus.deduplicated(corpus.kept(raw(spark, d)))).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("proj12_type_by_brand", r"""WITH b AS (SELECT regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') k, min(scam_type) t FROM canon_terms WHERE kind = 'brand' GROUP BY 1),
-p AS (SELECT report_id, unnest(string_split_regex(coalesce(brand, ''), '[,/]')) part, generate_subscripts(string_split_regex(coalesce(brand, ''), '[,/]'), 1) pos FROM (SELECT DISTINCT report_id, brand FROM smishtank_reports)),
+_CATEGORIES = "CASE c " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in CATEGORY_TYPE.items()) + " END"
+
+
+@add("proj12_type_by_brand", rf"""WITH b AS (SELECT regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') k, min(scam_type) t FROM canon_terms WHERE kind = 'brand' GROUP BY 1),
+r AS (SELECT DISTINCT report_id, lower(trim(coalesce(category, ''))) c, brand FROM smishtank_reports),
+p AS (SELECT report_id, unnest(string_split_regex(coalesce(brand, ''), '[,/]')) part, generate_subscripts(string_split_regex(coalesce(brand, ''), '[,/]'), 1) pos FROM (SELECT DISTINCT report_id, brand FROM r)),
 h AS (SELECT report_id, arg_min(t, pos) t FROM p JOIN b ON regexp_replace(lower(part), '[^a-z0-9]+', '', 'g') = k GROUP BY 1)
-SELECT r.report_id, CASE WHEN trim(coalesce(category, '')) = '' THEN '' ELSE coalesce(h.t, 'other') END scam_type FROM (SELECT DISTINCT report_id, category FROM smishtank_reports) r LEFT JOIN h USING (report_id)""")
+SELECT report_id, CASE WHEN c = '' THEN '' ELSE coalesce({_CATEGORIES}, CASE WHEN c IN ('account alert', 'account warning', 'other') THEN h.t END, 'other') END scam_type FROM r LEFT JOIN h USING (report_id)""")
 def proj12(spark, d):
-    """First listed brand that is known decides, by a join with the brand dimension."""
+    """The type of a row: by category, else, for the categories that leave it to the brand, by the first
+    listed brand that is known, else other; nothing without a category."""
     r = table(spark, d, "smishtank_reports").select("report_id", "category", "brand").distinct()
     dim = table(spark, d, "canon_terms").where("kind = 'brand'").groupBy(T.brand_key(F.col("name")).alias("k")).agg(F.min("scam_type").alias("t"))
-    parts = r.select("report_id", F.posexplode(F.split(F.coalesce("brand", F.lit("")), "[,/]")).alias("pos", "part"))
-    hit = parts.join(dim, T.brand_key(F.col("part")) == F.col("k")).groupBy("report_id").agg(F.min_by("t", "pos").alias("t"))
-    return r.join(hit, "report_id", "left").select("report_id", F.when(F.trim(F.coalesce("category", F.lit(""))) == "", "").otherwise(F.coalesce("t", F.lit("other"))).alias("scam_type"))
+    hit = joins.first_hit(r.select("report_id", "brand").distinct(), "report_id", F.split(F.coalesce("brand", F.lit("")), "[,/]"), dim, "k", "t", T.brand_key)
+    return r.join(hit, "report_id", "left").select("report_id", corpus.typed_by(F.col("category"), F.col("t"), decides=("account alert", "account warning", "other")).alias("scam_type"))
 
 
 @add("proj13_row_mask", f"WITH {ONCE} SELECT id FROM m WHERE source IN ('SmishTank','UCI SMS Spam Collection') AND scam = 1 AND length(text) >= 80")
@@ -261,8 +269,7 @@ def proj16(spark, d):
 @add("proj17_overlay", f"WITH {ONCE}, f AS (SELECT report_id, max(scam_type) fix FROM smishtank_reports WHERE coalesce(scam_type, '') <> '' GROUP BY 1) SELECT id, coalesce(fix, scam_type) scam_type, CAST(fix IS NOT NULL AND fix <> coalesce(scam_type, '') AS INT) changed FROM m LEFT JOIN f ON id = report_id")
 def proj17(spark, d):
     fix = table(spark, d, "smishtank_reports").where(F.coalesce("scam_type", F.lit("")) != "").groupBy(F.col("report_id").alias("id")).agg(F.max("scam_type").alias("fix"))
-    m = messages(spark, d, "scam_type").join(fix, "id", "left")
-    return m.select("id", F.coalesce("fix", "scam_type").alias("scam_type"), F.coalesce((F.col("fix") != F.coalesce("scam_type", F.lit(""))).cast("int"), F.lit(0)).alias("changed"))
+    return joins.overlaid(messages(spark, d, "scam_type"), fix, "id", "scam_type", "fix").select("id", "scam_type", "changed")
 
 
 @add("proj18_gated_type", f"WITH {ONCE} SELECT id, CASE WHEN model_pred = 1 THEN scam_type END shown FROM m")
@@ -304,10 +311,10 @@ def proj24(spark, d):
     return r.agg(F.count(F.when(F.col("scam") != F.col("spam_label") + F.col("smishing_label"), 1)).alias("violations"), F.count(F.lit(1)).alias("n"))
 
 
-@add("proj25_numeric_cleaning", "SELECT c_custkey, greatest(round(c_acctbal), 0) rounded, CAST(c_acctbal > 0.5 AS INT) high, CASE WHEN c_nationkey IN (1, 2, 3) THEN c_nationkey END kept, CASE WHEN c_nationkey = 0 THEN -1 ELSE c_nationkey END code FROM customer")
+@add("proj25_numeric_cleaning", "SELECT c_custkey, greatest(round_even(c_acctbal, 0), 0) rounded, CAST(c_acctbal > 0.5 AS INT) high, CASE WHEN c_nationkey IN (1, 2, 3) THEN c_nationkey END kept, CASE WHEN c_nationkey = 0 THEN -1 ELSE c_nationkey END code FROM customer")
 def proj25(spark, d):
     b, k = F.col("c_acctbal"), F.col("c_nationkey")
-    return table(spark, d, "customer").select("c_custkey", F.greatest(F.round(b), F.lit(0.0)).alias("rounded"), (b > 0.5).cast("int").alias("high"), F.when(k.isin(1, 2, 3), k).alias("kept"), F.when(k == 0, -1).otherwise(k).alias("code"))
+    return table(spark, d, "customer").select("c_custkey", F.greatest(F.bround(b, 0), F.lit(0.0)).alias("rounded"), (b > 0.5).cast("int").alias("high"), F.when(k.isin(1, 2, 3), k).alias("kept"), F.when(k == 0, -1).otherwise(k).alias("code"))
 
 
 @add("proj26_first_seen_codes", "WITH f AS (SELECT c_mktsegment s, min(c_custkey) k FROM customer GROUP BY 1), c AS (SELECT s, CASE WHEN s = 'MACHINERY' THEN -1 ELSE row_number() OVER (PARTITION BY s = 'MACHINERY' ORDER BY k) - 1 END code FROM f) SELECT c_custkey, CAST(code AS INT) code FROM customer JOIN c ON s = c_mktsegment")
@@ -346,7 +353,7 @@ def proj30(spark, d):
 @add("j1_align_by_id", f"WITH {ONCE} SELECT m.id, length(text) n, label FROM m JOIN embeddings e ON m.id = e.vec_id")
 def j1(spark, d):
     m = messages(spark, d, "text", "label").select("id", F.length("text").cast("long").alias("n"), F.lit(None).cast("int").alias("x"))
-    return m.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id").select("id", "n", "label")
+    return joins.align(m.drop("x"), table(spark, d, "embeddings").select("vec_id", "label"), "id", "vec_id").select("id", "n", "label")
 
 
 SQL["j1_align_by_id"] = f"WITH {ONCE} SELECT m.id, length(m.text) n, e.label FROM m JOIN embeddings e ON m.id = e.vec_id"
@@ -365,15 +372,14 @@ def j3(spark, d):
 
 @add("j4_last_by_text", "WITH l AS (SELECT text, max(row_id) last_id FROM source_rows WHERE text IS NOT NULL GROUP BY 1) SELECT member_id, last_id FROM (SELECT DISTINCT member_id, text FROM group_members) g LEFT JOIN l USING (text)")
 def j4(spark, d):
-    last = table(spark, d, "source_rows").where("text is not null").groupBy("text").agg(F.max("row_id").alias("last_id"))
+    last = joins.last_by_key(table(spark, d, "source_rows"), "text", "row_id", "last_id")
     return table(spark, d, "group_members").select("member_id", "text").distinct().join(last, "text", "left").select("member_id", "last_id")
 
 
 @add("j5_unique_text_only", "WITH u AS (SELECT text, min(row_id) row_id FROM source_rows WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) = 1) SELECT s.row_id, u.row_id found FROM source_rows s LEFT JOIN u ON s.text = u.text")
 def j5(spark, d):
     s = table(spark, d, "source_rows").select("row_id", "text")
-    u = s.where("text is not null").groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("found")).where("n = 1").drop("n")
-    return s.join(u, "text", "left").select("row_id", "found")
+    return s.join(joins.unique_only(s, "text", "row_id", "found"), "text", "left").select("row_id", "found")
 
 
 @add("j6_semi", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
@@ -401,8 +407,8 @@ def j9(spark, d):
 def j10(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("s"), F.year("o_orderdate").alias("y"), (F.col("o_totalprice") > 200000).cast("int").alias("f"))
     n = o.groupBy("s", "y", "f").agg(F.count(F.lit(1)).alias("n"))
-    cells = o.select("s").distinct().select("s", F.explode(F.sequence(F.lit(1992), F.lit(1998))).alias("y")).select("s", "y", F.explode(F.array(F.lit(0), F.lit(1))).alias("f"))
-    return cells.join(n, ["s", "y", "f"], "left").select("s", "y", "f", F.coalesce("n", F.lit(0)).alias("n"))
+    grid = joins.cells(o.select("s").distinct(), spark.range(1992, 1999).select(F.col("id").cast("int").alias("y")), spark.range(2).select(F.col("id").cast("int").alias("f")))
+    return joins.counted_cells(grid, n, ["s", "y", "f"]).select("s", "y", "f", "n")
 
 
 PLAN = [("bank warning", 30), ("courtship", 20), ("utility shutoff", 3), ("work offer", 13)]
@@ -415,12 +421,12 @@ def j11(spark, d):
     return sampling.quota(messages(spark, d, "scam_type"), "scam_type", spark.createDataFrame(PLAN, "bucket string, n int"), "id", 5)
 
 
-@add("j12_first_hit_in_list", "WITH p AS (SELECT report_id, x[1] a, x[2] b FROM (SELECT DISTINCT report_id, string_split_regex(coalesce(brand, ''), '[,/]') x FROM smishtank_reports)) SELECT report_id, coalesce((SELECT min(term_id) FROM canon_terms WHERE kind = 'brand' AND name = trim(a)), (SELECT min(term_id) FROM canon_terms WHERE kind = 'brand' AND name = trim(b)), 0) term_id FROM p")
+@add("j12_first_hit_in_list", "WITH r AS (SELECT DISTINCT report_id, string_split_regex(coalesce(brand, ''), '[,/]') x FROM smishtank_reports), p AS (SELECT report_id, unnest(x) part, generate_subscripts(x, 1) pos FROM r), t AS (SELECT name, min(term_id) term_id FROM canon_terms WHERE kind = 'brand' GROUP BY 1), h AS (SELECT report_id, arg_min(term_id, pos) term_id FROM p JOIN t ON trim(part) = name GROUP BY 1) SELECT report_id, coalesce(h.term_id, 0) term_id FROM (SELECT DISTINCT report_id FROM r) LEFT JOIN h USING (report_id)")
 def j12(spark, d):
     r = table(spark, d, "smishtank_reports").select("report_id", F.split(F.coalesce("brand", F.lit("")), "[,/]").alias("x")).distinct()
     t = table(spark, d, "canon_terms").where("kind = 'brand'").groupBy("name").agg(F.min("term_id").alias("term_id"))
-    hits = r.select("report_id", F.posexplode("x").alias("pos", "part")).join(t, F.trim("part") == F.col("name"))
-    return r.select("report_id").join(hits.groupBy("report_id").agg(F.min_by("term_id", "pos").alias("term_id")), "report_id", "left").select("report_id", F.coalesce("term_id", F.lit(0)).alias("term_id"))
+    hit = joins.first_hit(r, "report_id", F.col("x"), t, "name", "term_id", F.trim)
+    return r.select("report_id").distinct().join(hit, "report_id", "left").select("report_id", F.coalesce("term_id", F.lit(0)).alias("term_id"))
 
 
 @add("u1_union_all", "SELECT s_suppkey k, s_name name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer")
@@ -471,13 +477,10 @@ def a4(spark, d):
     return messages(spark, d, "has_url", "msg_date", "also_in", "label_conflict").agg(F.count(F.lit(1)).alias("n"), n(F.col("has_url") == 1).alias("with_url"), n(filled("msg_date")).alias("with_date"), n(filled("also_in")).alias("in_others"), n(F.col("label_conflict") == 1).alias("conflicts"))
 
 
-_KW = ["free", "account", "toll", "bank", "link", "payment", "zelle"]
-
-
-@add("a5_keyword_lift", f"WITH {SCORED}, k AS (SELECT unnest({_KW!r}) keyword), b AS (SELECT avg(CAST(y AS DOUBLE)) base FROM s) SELECT keyword, count(*) n, count(*) FILTER (WHERE y = 1) hits, round(avg(CAST(y AS DOUBLE)) / any_value(base), 4) lift FROM k JOIN s ON contains(lower(text), keyword), b GROUP BY keyword")
+@add("a5_keyword_lift", f"WITH {ONCE}, s AS (SELECT lower(text) low, label, scam FROM m WHERE scam IS NOT NULL), k AS (SELECT unnest([{', '.join(q(k) for k in KEYWORDS)}]) keyword), b AS (SELECT avg(CAST(scam AS DOUBLE)) base FROM s), c AS (SELECT keyword, count(low) n, count(low) FILTER (WHERE label = 'ham') ham, count(low) FILTER (WHERE label = 'spam') spam, count(low) FILTER (WHERE label = 'smishing') smishing, count(low) FILTER (WHERE scam = 1) hits FROM k LEFT JOIN s ON contains(low, keyword) GROUP BY keyword) SELECT c.*, round(CASE WHEN n > 0 AND base > 0 THEN CAST(hits AS DOUBLE) / n / base END, 4) lift FROM c, b")
 def a5(spark, d):
     """Rows, label split and lift of every keyword, also of those without a row: all flags in one pass,
-    unpivoted after aggregation. The SQL covers seven keywords, without the label split."""
+    unpivoted after aggregation."""
     m = messages(spark, d, "text", "label", "scam").where("scam is not null").withColumn("low", F.lower("text"))
     labels = ["ham", "spam", "smishing"]
     n = lambda c: F.count(F.when(c, 1))
@@ -581,7 +584,7 @@ def a20(spark, d):
 @add("a21_bootstrap")
 def a21(spark, d):
     """A random interval; tested for coverage and reproducibility."""
-    return metrics.bootstrap(scored(spark, d), "id", "y", "score", 9.0)
+    return metrics.bootstrap(scored(spark, d), "y", "score", 9.0)
 
 
 @add("a22_quartiles", "SELECT event_type, round(quantile_cont(value, 0.25), 4) q1, round(quantile_cont(value, 0.5), 4) median, round(quantile_cont(value, 0.75), 4) q3 FROM events GROUP BY 1")
@@ -601,9 +604,9 @@ def a23(spark, d):
     return stats.cohens_d(_two(spark, d), "x", "g")
 
 
-@add("a24_rank_sum", f"WITH {ONCE}, {_TWO}, r AS (SELECT g, avg(rn) OVER (PARTITION BY x) rk FROM (SELECT *, row_number() OVER (ORDER BY x) rn FROM t)) SELECT count(*) FILTER (WHERE g = 1) n1, count(*) FILTER (WHERE g = 0) n0, sum(rk) FILTER (WHERE g = 1) - count(*) FILTER (WHERE g = 1) * (count(*) FILTER (WHERE g = 1) + 1) / 2.0 u FROM r")
+@add("a24_rank_sum", f"WITH {ONCE}, {_TWO}, r AS (SELECT g, avg(rn) OVER (PARTITION BY x) rk FROM (SELECT *, row_number() OVER (ORDER BY x) rn FROM t)), v AS (SELECT CAST(count(*) FILTER (WHERE g = 1) AS DOUBLE) n1, CAST(count(*) FILTER (WHERE g = 0) AS DOUBLE) n0, sum(rk) FILTER (WHERE g = 1) - count(*) FILTER (WHERE g = 1) * (count(*) FILTER (WHERE g = 1) + 1) / 2.0 u FROM r), w AS (SELECT CAST(sum(c * c * c - c) AS DOUBLE) ties FROM (SELECT CAST(count(*) AS DOUBLE) c FROM t GROUP BY x)) SELECT CAST(n1 AS BIGINT) n1, CAST(n0 AS BIGINT) n0, u, round((abs(u - n1 * n0 / 2) - 0.5) / sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - ties / ((n1 + n0) * (n1 + n0 - 1)))), 4) z FROM v, w")
 def a24(spark, d):
-    return stats.mann_whitney(_two(spark, d), "x", "g").select("n1", "n0", "u")
+    return stats.mann_whitney(_two(spark, d), "x", "g").select("n1", "n0", "u", F.round("z", 4).alias("z"))
 
 
 @add("a25_chi_square", f"WITH {ONCE}, t AS (SELECT source a, label b, count(*) o FROM m WHERE source IS NOT NULL AND label IS NOT NULL GROUP BY ALL), r AS (SELECT a, sum(o) ra FROM t GROUP BY 1), c AS (SELECT b, sum(o) cb FROM t GROUP BY 1), n AS (SELECT sum(o) n FROM t), x AS (SELECT r.a, c.b, ra * cb / n e, coalesce(o, 0) o FROM r, c, n LEFT JOIN t ON t.a = r.a AND t.b = c.b) SELECT round(sum((o - e) * (o - e) / e), 4) chi2, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) dof FROM x")
@@ -646,9 +649,8 @@ def a31(spark, d):
 @add("a32_describe", "SELECT count(value) n, round(avg(value), 4) mean, round(stddev_samp(value), 4) sd, min(value) least, round(quantile_cont(value, 0.25), 4) q1, round(quantile_cont(value, 0.5), 4) median, round(quantile_cont(value, 0.75), 4) q3, max(value) most FROM events")
 def a32(spark, d):
     e = table(spark, d, "events")
-    p = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    a = e.agg(F.count("value").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_samp("value"), 4).alias("sd"), F.min("value").alias("least"), p.alias("p"), F.max("value").alias("most"))
-    return a.select("n", "mean", "sd", "least", *[F.round(F.col("p")[i], 4).alias(c) for i, c in enumerate(("q1", "median", "q3"))], "most")
+    a = e.agg(F.count("value").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_samp("value"), 4).alias("sd"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return a.crossJoin(F.broadcast(stats.quartiles(e, "value")))  # one row each
 
 
 @add("a33_stratified_outcome", "WITH c AS (SELECT s, p, f FROM (SELECT DISTINCT c_mktsegment s FROM customer), (SELECT DISTINCT o_orderpriority p FROM orders), (SELECT unnest(['short', 'long']) f)), o AS (SELECT c_mktsegment s, o_orderpriority p, CASE WHEN o_totalprice <= 400 THEN 'short' ELSE 'long' END f, CAST(o_orderstatus = 'F' AS INT) y FROM orders JOIN customer ON c_custkey = o_custkey) SELECT s, p, f, count(y) n, round(avg(y) * 100, 4) rate FROM c LEFT JOIN o USING (s, p, f) GROUP BY ALL")
@@ -723,11 +725,10 @@ def o4(spark, d):
     return t.select("id", F.row_number().over(Window.orderBy("n", "id")).alias("place"))
 
 
-@add("o5_length_batches", "SELECT CAST(length(text) // 200 AS BIGINT) band, count(*) n FROM documents GROUP BY 1")
+@add("o5_length_batches", "SELECT doc_id, CAST((row_number() OVER (ORDER BY length(text) DESC, doc_id) - 1) // 64 AS BIGINT) batch FROM documents WHERE text IS NOT NULL")
 def o5(spark, d):
-    """Texts repartitioned and sorted by length inside each partition, so batches are even."""
-    t = table(spark, d, "documents").select("doc_id", F.length("text").alias("n")).repartition(8, "doc_id").sortWithinPartitions(F.desc("n"))
-    return t.groupBy(F.floor(F.col("n") / 200).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    """Batches of texts of like length, longest first."""
+    return sampling.length_batches(table(spark, d, "documents"), "doc_id", "text", 64)
 
 
 _CURVE = f"{SCORED}, t AS (SELECT CAST(range AS DOUBLE) t FROM range(0, 60)), c AS (SELECT t threshold, round(count(*) FILTER (WHERE y = 1 AND score >= t) / greatest(count(*) FILTER (WHERE y = 1), 1), 6) recall, round(count(*) FILTER (WHERE y <> 1 AND score < t) / greatest(count(*) FILTER (WHERE y <> 1), 1), 6) specificity FROM t, s GROUP BY t)"
@@ -793,10 +794,13 @@ def r6(spark, d):
     return sampling.quota(messages(spark, d, "scam_type"), "scam_type", plan, "id", 5).where("needs_sourcing = 0")
 
 
-@add("r7_resample")
+_CUTS = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253]
+
+
+@add("r7_resample", f"WITH {ONCE}, u AS (SELECT id, ({_BUCKET(31, 'id', 1 << 24)} + CAST(0.5 AS DOUBLE)) / {1 << 24} u FROM m) SELECT id, " + " + ".join(f"CAST(u > CAST({c!r} AS DOUBLE) AS INT)" for c in _CUTS) + " AS times FROM u")
 def r7(spark, d):
-    """Poisson(1) weights of a resample with replacement; tested for mean and variance."""
-    return metrics.bootstrap(scored(spark, d), "id", "y", "score", 5.0, rounds=50)
+    """A resample with replacement: how often each row is drawn (Poisson(1), by hash)."""
+    return messages(spark, d, "text").select("id", metrics.poisson_weight(sampling.uniform(31, F.col("id"))).alias("times"))
 
 
 @add("r8_resume", f"WITH {ONCE} SELECT id FROM m WHERE scam = 0 AND id NOT IN (SELECT report_id FROM smishtank_reports)")
@@ -888,7 +892,7 @@ def f14(spark, d):
     return table(spark, d, "documents").select("doc_id", F.substring("text", 1, 300).alias("head"))
 
 
-@add("f15_template_fill", "SELECT item_id, 'Type of: ' || substr(text, 1, 40) || chr(10) || 'A) yes' || chr(10) || 'B) no' prompt FROM eval_items")
+@add("f15_template_fill", "SELECT item_id, 'Type of: ' || text || chr(10) || 'A) yes' || chr(10) || 'B) no' prompt FROM eval_items")
 def f15(spark, d):
     return table(spark, d, "eval_items").select("item_id", F.format_string("Type of: %s\nA) yes\nB) no", F.col("text")).alias("prompt"))
 
@@ -898,9 +902,9 @@ def f16(spark, d):
     return table(spark, d, "part").select("p_partkey", F.bround((F.col("p_size").cast("decimal(10,0)") / F.lit(8).cast("decimal(10,0)")), 2).cast("double").alias("r"))
 
 
-@add("f17_argmax_softmax", "WITH e AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE)) v FROM embeddings) SELECT vec_id, CAST(list_position(v, list_max(v)) AS BIGINT) best, round(1 / list_sum(list_transform(v, lambda x: exp(x - list_max(v)))), 6) p FROM e")
+@add("f17_argmax_softmax", "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) v FROM embeddings) SELECT vec_id, CAST(list_position(v, list_max(v)) AS BIGINT) best, round(1 / list_sum(list_transform(v, lambda x: exp(x - list_max(v)))), 6) p FROM e")
 def f17(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 4).cast("array<double>").alias("v")).withColumn("m", F.array_max("v"))
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("m", F.array_max("v"))
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("m")))
     return e.select("vec_id", F.array_position("v", F.col("m")).alias("best"), F.round(1 / total, 6).alias("p"))
 
@@ -917,10 +921,12 @@ def f19(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 4).alias("norm"))
 
 
-@add("f20_assemble")
+@add("f20_assemble", "SELECT l_orderkey, l_linenumber, CAST(4 AS INT) n, round(l_quantity + 2 * l_extendedprice + 3 * l_discount + 4 * l_tax, 4) weighted FROM lineitem")
 def f20(spark, d):
-    v = models.assemble(X.with_features(messages(spark, d, "text")), X.FEATURES)
-    return v.select("id", F.size(models.vector_to_array("features")).alias("n"))
+    """Columns as a vector in the given order: its size and its product with 1, 2, 3, 4."""
+    v = models.assemble(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    a = models.vector_to_array("features")
+    return v.select("l_orderkey", "l_linenumber", F.size(a).alias("n"), F.round(a[0] + 2 * a[1] + 3 * a[2] + 4 * a[3], 4).alias("weighted"))
 
 
 def _features_sql() -> str:
@@ -961,9 +967,14 @@ def f29(spark, d):
 # ---------------------------------------------------------------- S: sources and sinks
 
 
-@add("s1_binary_file")
+@add("s1_binary_file", "SELECT DISTINCT source || '.txt' AS file, CAST(sum(strlen(coalesce(text, '')) + 1) OVER (PARTITION BY source) AS BIGINT) n FROM (SELECT lower(trim(source)) source, text FROM source_rows)")
 def s1(spark, d):
-    return archives.binary_files(spark, f"{d}/region.parquet").select(F.length("content").alias("n"))
+    """Whole files as bytes: the texts of each source, written as files of a folder per source, read back."""
+    path = files.scratch(spark, "binary")
+    table(spark, d, "source_rows").select(F.lower(F.trim("source")).alias("source"), F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("source").text(path)
+    b = archives.binary_files(spark, f"{path}/*/*.txt")
+    name = F.url_decode(F.regexp_extract("path", "source=([^/]*)/", 1))
+    return b.groupBy(F.concat(name, F.lit(".txt")).alias("file")).agg(F.sum(F.length("content")).alias("n"))
 
 
 def _zipped(rows: DataFrame, inner: bool = False) -> DataFrame:
@@ -1117,11 +1128,16 @@ def s20(spark, d):
     return spark.read.parquet(path).where("split = 'val'").select("id")
 
 
-@add("s21_glob_scan", "SELECT 'region.parquet' file, count(*) n FROM region UNION ALL SELECT 'nation.parquet', count(*) FROM nation")
+@add("s21_glob_scan", "SELECT lower(trim(source)) source, count(*) n FROM source_rows GROUP BY 1 HAVING NOT bool_or(row_id % 2 = 0 AND lower(trim(source)) LIKE '%sms%')")
 def s21(spark, d):
-    """Files behind a glob with their names; the file is the key of the metadata column."""
-    t = spark.read.option("mergeSchema", "true").parquet(f"{d}/{{region,nation}}.parquet").select(F.col("_metadata.file_path").alias("p"))
-    return t.groupBy(F.regexp_extract("p", "(region|nation)", 1).alias("f")).agg(F.count(F.lit(1)).alias("n")).select(F.concat("f", F.lit(".parquet")).alias("file"), "n")
+    """Files behind a glob, without those that already carry an ``id``: rows per source still to do."""
+    path = files.scratch(spark, "glob")
+    rows = table(spark, d, "source_rows").select(F.lower(F.trim("source")).alias("source"), "row_id")
+    done = rows.where("source like '%sms%'").groupBy("source").agg(F.max((F.col("row_id") % 2 == 0).cast("int")).alias("done")).where("done = 1").select("source")
+    rows.join(done, "source", "left_semi").withColumn("id", F.col("row_id")).write.partitionBy("source").parquet(f"{path}/done")
+    rows.join(done, "source", "left_anti").write.partitionBy("source").parquet(f"{path}/open")
+    todo = files.without_column(spark, [f"{path}/done", f"{path}/open"], "id")
+    return todo.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @add("s22_header_by_content", "SELECT CAST(n_nationkey AS BIGINT) id, n_name name FROM nation")
@@ -1160,11 +1176,12 @@ def _parts(spark, d):
 
 @add("m2_tfidf_arm")
 def m2(spark, d):
+    """Term weights fitted on training rows; the threshold for a recall of 0.95 too; metrics on the others."""
     train, test = _parts(spark, d)
     train, test = (x.withColumn("text", models.unaccented(F.col("text"))) for x in (train, test))
-    fit = models.tfidf().fit(train)
-    head = models.head(fit.transform(train), "tfidf")
-    return metrics.auc(models.probability(head, fit.transform(test)), "y", "prob")
+    weigh = models.tfidf_fit(train)
+    head = models.head(weigh(train), "tfidf")
+    return models.arm_metrics("tfidf", models.probability(head, weigh(train)), models.probability(head, weigh(test)), "y", "prob")
 
 
 @add("m3_embedding_arm")
@@ -1214,13 +1231,74 @@ def m10(spark, d):
     return scam.union(ham)
 
 
-@add("m13_serving_equals_batch", f"WITH {SCORED} SELECT count(*) n, CAST(0 AS BIGINT) flips FROM s")
+@add("m13_serving_equals_batch", f"WITH {ONCE} SELECT count(*) n, CAST(0 AS BIGINT) apart, CAST(0 AS BIGINT) flips FROM m")
 def m13(spark, d):
-    """Scores of the streaming expressions against the batch ones: how many verdicts flip."""
-    s = scored(spark, d)
-    served = streaming.scored(s.select("id", "text"), 0.1).select("id", F.col("flagged").alias("served"))
-    batch = s.select("id", (X.keyword_score(F.col("text")) / len(KEYWORDS) >= 0.1).cast("int").alias("batch"))
-    return served.join(batch, "id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("served") != F.col("batch"), 1)).alias("flips"))
+    """The stored scores of a stream that serves messages one by one against the stored scores of the batch
+    arm: rows apart in the third place, and verdicts that flip."""
+    once = messages(spark, d, "text")
+    batch, served, queue = files.scratch(spark, "batch"), files.scratch(spark, "served"), files.scratch(spark, "queue")
+    m1(spark, d).write.parquet(batch)
+    once.repartition(4).write.parquet(queue)
+    stream = spark.readStream.schema(once.schema).option("maxFilesPerTrigger", 1).parquet(queue)
+    streaming.run_once(streaming.scored(stream, 0.1).select("id", "prob", "flagged"), served, files.scratch(spark, "check"))
+    both = joins.align(spark.read.parquet(batch), spark.read.parquet(served), "id")
+    flip = (F.round("score", 3) >= 0.1).cast("int") != F.col("flagged")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.abs(F.round("score", 3) - F.round("prob", 3)) > 0.0005, 1)).alias("apart"), F.count(F.when(flip, 1)).alias("flips"))
+
+
+@add("m17_teacher_and_head", f"WITH {ONCE}, s AS (SELECT scam y, model_pred teacher, CAST(({SCORE}) >= 4 AS INT) head FROM m WHERE scam IS NOT NULL AND model_pred IS NOT NULL) SELECT count(*) n, count(*) FILTER (WHERE teacher = y) teacher_right, count(*) FILTER (WHERE head = y) head_right, count(*) FILTER (WHERE teacher = y AND head <> y) teacher_only, count(*) FILTER (WHERE head = y AND teacher <> y) head_only FROM s")
+def m17(spark, d):
+    """Two sets of predictions over identical rows."""
+    m = messages(spark, d, "text", "scam", "model_pred").where("scam is not null and model_pred is not null")
+    return metrics.paired(m.withColumn("head", (X.keyword_score(F.col("text")) >= 4).cast("int")), "scam", "model_pred", "head", "teacher", "head")
+
+
+@add("m11_two_labelings", f"WITH {ONCE}, f AS (SELECT report_id, max(scam_type) fix FROM smishtank_reports WHERE coalesce(scam_type, '') <> '' GROUP BY 1), s AS (SELECT scam_type mapped, coalesce(fix, scam_type) corrected, CASE WHEN length(text) % 3 = 0 THEN 'work offer' ELSE scam_type END pred FROM m LEFT JOIN f ON id = report_id WHERE scam_type IS NOT NULL AND text IS NOT NULL) SELECT count(*) n, count(*) FILTER (WHERE pred = mapped) mapped_right, count(*) FILTER (WHERE pred = corrected) corrected_right, count(*) FILTER (WHERE pred = mapped AND pred <> corrected) mapped_only, count(*) FILTER (WHERE pred = corrected AND pred <> mapped) corrected_only FROM s")
+def m11(spark, d):
+    """The same predictions judged by two labelings of the same rows."""
+    fix = table(spark, d, "smishtank_reports").where(F.coalesce("scam_type", F.lit("")) != "").groupBy(F.col("report_id").alias("id")).agg(F.max("scam_type").alias("fix"))
+    m = messages(spark, d, "scam_type", "text").where("scam_type is not null and text is not null").join(fix, "id", "left")
+    m = m.select(F.when(F.length("text") % 3 == 0, "work offer").otherwise(F.col("scam_type")).alias("pred"), F.col("scam_type").alias("mapped"), F.coalesce("fix", "scam_type").alias("corrected"))
+    return metrics.paired(m, "pred", "mapped", "corrected", "mapped", "corrected")
+
+
+_REPLIES = "CASE doc_id % 4 WHEN 0 THEN 'Answer: B) ' || lower(source) WHEN 1 THEN '(c)' WHEN 2 THEN 'I think it is A.' ELSE 'no idea' END"
+
+
+@add("m12_constrained_choice", f"SELECT doc_id, CASE upper(regexp_extract({_REPLIES}, '(?i)(?:^|[^\\p{{L}}\\p{{N}}])([abc])(?:[).:]|$)', 1)) WHEN 'A' THEN 'first' WHEN 'B' THEN 'second' WHEN 'C' THEN 'third' ELSE 'other' END choice FROM documents")
+def m12(spark, d):
+    """Answers of a pluggable scorer read as one of the offered choices."""
+    reply = F.expr("case doc_id % 4 when 0 then 'Answer: B) ' || lower(source) when 1 then '(c)' when 2 then 'I think it is A.' else 'no idea' end")
+    return table(spark, d, "documents").select("doc_id", models.choice(reply, ["first", "second", "third"], "other").alias("choice"))
+
+
+@add("m8_type_head")
+def m8(spark, d):
+    """The type head over stored vectors, on held-out rows: accuracy and macro F1."""
+    e = table(spark, d, "embeddings").select("vec_id", models.array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col("label").alias("y"))
+    part = sampling.bucket(13, F.col("vec_id"), 4)
+    out = models.head(e.where(part < 3)).transform(e.where(part == 3)).select(F.col("y").cast("string").alias("t"), F.col("prediction").cast("int").cast("string").alias("p"))
+    classes = metrics.per_class(out, "t", "p")
+    return classes.agg((F.sum("tp") / F.sum("n_true")).alias("accuracy"), F.avg("f1").alias("macro_f1"))
+
+
+@add("m15_importances")
+def m15(spark, d):
+    """How much each feature decides: the boosted arm's importances."""
+    train, _ = (models.assemble(X.with_features(x), X.FEATURES) for x in _parts(spark, d))
+    return models.importances(models.boosted(train), X.FEATURES, spark)
+
+
+@add("s24_saved_model")
+def s24(spark, d):
+    """An arm saved with its manifest, loaded again and replayed over the corpus: rows scored otherwise."""
+    train, test = (models.assemble(X.with_features(x), X.FEATURES) for x in _parts(spark, d))
+    fit, path = models.head(train), files.scratch(spark, "model")
+    models.save(fit, path, files.manifest(X.FEATURES, 0.5, ["0", "1"]))
+    loaded, manifest = models.load(spark, path)
+    test = test.select("id", "features")
+    a, b = models.probability(fit, test).select("id", "prob"), models.probability(loaded, test).select("id", F.col("prob").alias("again"))
+    return a.join(b, "id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.abs(F.col("prob") - F.col("again")) > 1e-9, 1)).alias("apart"), F.lit(len(manifest["features"])).alias("n_features"))
 
 
 @add("m16_clusters")

@@ -74,5 +74,14 @@ def manifest(features: list[str], threshold: float, classes: list[str]) -> str:
     return json.dumps({"features": features, "threshold": threshold, "classes": classes}, ensure_ascii=False)
 
 
+def without_column(spark: SparkSession, folders: list[str], column: str) -> DataFrame:
+    """The rows of the folders whose files do not carry ``column`` yet; schemas alone are read to decide."""
+    todo = [f for f in folders if column not in spark.read.parquet(f).columns]
+    out = spark.read.parquet(todo[0]) if todo else spark.read.parquet(*folders).limit(0)
+    for f in todo[1:]:
+        out = out.unionByName(spark.read.parquet(f), allowMissingColumns=True)
+    return out
+
+
 def to_json_rows(df: DataFrame, *cols: str) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in cols]))
