@@ -192,7 +192,9 @@ def test_2_four_words_against_five(spark):
     assert pairs(leaks.overlap_pairs(*leaks.overlaps(d))) == {(1, 2), (1, 5), (6, 7)}
 
 
-def test_2_long_texts_of_both_block_kinds(spark):
+@pytest.mark.parametrize("hot", [leaks.HOT, 0])  # 0: every block of long texts is cut up
+def test_2_long_texts_of_both_block_kinds(spark, monkeypatch, hot):
+    monkeypatch.setattr(leaks, "HOT", hot)
     r = random.Random(15)
     vocab = [f"w{a}{b}" for a in "abcdefghij" for b in "abcdefghij"]
     rows = []

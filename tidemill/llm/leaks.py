@@ -31,6 +31,8 @@ SHARE = 0.2
 CELLS = 1 << 16
 #: Bits of a block, and the lengths (words) of the texts: over the first, up to the second.
 KINDS = {3: (0, 50), 2: (50, 200), 1: (200, 2**31)}
+#: Pairs that a block of long texts (sets of one or two bits) may make; a hotter one is cut up by a further bit.
+HOT = 4_000_000
 #: Links, amounts with a currency, and the currencies' words.
 LINK = r"(?:h(?:tt|xx)ps?://|www\.)\S+|(?<![\p{L}\p{N}_-])(?=[\p{L}\p{N}_-]++\.[\p{L}\p{N}_-])[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)*\.(?:\p{L}{2,}/\S*|(?:com|net|org|test|example|invalid|info|biz|io|co)(?![\p{L}\p{N}]))"
 CURRENCY = r"(?:usd|eur|gbp|inr|aud|cad|dollars?|euros?|pounds?)"
@@ -69,17 +71,13 @@ def frequency_sketch(codes: DataFrame) -> bytearray:
 
 
 def _sets(size: int) -> Column:
-    """Hashes of all sets of ``size`` elements of the sorted array column ``q``."""
+    """Hashes of all sets of three elements of the sorted array column ``q``."""
     rest = lambda i: F.slice("q", i + 1, F.size("q"))
-    if size == 1:
-        return F.transform("q", lambda x: F.xxhash64(F.lit(1), x))
-    if size == 2:
-        return F.flatten(F.transform("q", lambda x, i: F.transform(rest(i + 1), lambda y: F.xxhash64(F.lit(2), x, y))))
-    return F.flatten(F.transform("q", lambda x, i: F.flatten(F.transform(rest(i + 1), lambda y, j: F.transform(rest(i + j + 2), lambda z: F.xxhash64(F.lit(3), x, y, z))))))
+    return F.flatten(F.transform("q", lambda x, i: F.flatten(F.transform(rest(i + 1), lambda y, j: F.transform(rest(i + j + 2), lambda z: F.xxhash64(F.lit(size), x, y, z))))))
 
 
-def blocks(codes: DataFrame, sketch: bytearray, share: float = SHARE) -> DataFrame:
-    """``(c, n, f, block)``: sets of bits of the head of the permuted code; c is a 64-bit form of the
+def blocks(codes: DataFrame, sketch: bytearray, share: float = SHARE, hot: DataFrame | None = None) -> DataFrame:
+    """``(e, t, c, n, f, block)``: sets of bits of the head of the permuted code; c is a 64-bit form of the
     class, f the code folded to 64 bits.
 
     Codes of n and m words that are within k = share * max(n, m) edits share all but k bits, so they
@@ -87,19 +85,51 @@ def blocks(codes: DataFrame, sketch: bytearray, share: float = SHARE) -> DataFra
     blocks are rare where texts are short and many, and few where texts are long.  Kinds overlap by
     the share that lengths of close texts may differ: two close texts always have one in common.
     """
-    rank = lambda b: F.substring(F.lit(sketch), F.pmod(b, F.lit(CELLS)).cast("int") + 1, F.lit(1))
-    order = F.array_sort(F.transform("code", lambda b: F.struct(rank(b).alias("r"), b.alias("b"))))
-    short = F.col("f0").bitwiseXOR(F.col("f1")).bitwiseXOR(F.col("f2")).bitwiseXOR(F.col("f3"))
-    ranked = codes.where("n >= 4").select(F.xxhash64("cls").alias("c"), "n", short.alias("f"), order.alias("o"))
     out = None
     for size, (low, high) in KINDS.items():
-        head = F.slice("o", 1, (F.floor(F.col("n") * share) + size).cast("int"))
-        own = ranked.where((F.col("n") > low) & (F.col("n") * (1 - share) <= high)).select("c", "n", "f", F.array_sort(F.transform(head, lambda x: x["b"])).alias("q"))
-        part = own.select("c", "n", "f", F.explode(_sets(size)).alias("block"))
+        own = _heads(codes, sketch, share, size, low, high)
+        if size == 3:
+            part = own.select("e", "t", "c", "n", "f", F.explode(_sets(size)).alias("block"))
+        else:
+            sets = own.select("e", "t", "c", "n", "f", "wide", F.explode(_parents(size)).alias("p"))
+            if hot is None:
+                part = sets.select("e", "t", "c", "n", "f", "p.block")
+            else:
+                sets = sets.withColumn("block", F.col("p.block")).join(hot.withColumn("hot", F.lit(1)), "block", "left")
+                rest = F.transform(F.array_except("wide", "p.bits"), lambda x: F.xxhash64(F.lit(4), F.col("block"), x))
+                part = sets.select("e", "t", "c", "n", "f", F.explode(F.when(F.col("hot").isNull(), F.array("block")).otherwise(rest)).alias("block"))
         out = part if out is None else out.union(part)
     return out
 
 
+def _heads(codes: DataFrame, sketch: bytearray, share: float, size: int, low: int, high: int) -> DataFrame:
+    """``q``: the first ``k + size`` bits of each code of the given lengths, ``wide``: one bit more; sorted."""
+    rank = lambda b: F.substring(F.lit(sketch), F.pmod(b, F.lit(CELLS)).cast("int") + 1, F.lit(1))
+    order = F.array_sort(F.transform("code", lambda b: F.struct(rank(b).alias("r"), b.alias("b"))))
+    short = F.col("f0").bitwiseXOR(F.col("f1")).bitwiseXOR(F.col("f2")).bitwiseXOR(F.col("f3"))
+    ranked = codes.where("n >= 4").where((F.col("n") > low) & (F.col("n") * (1 - share) <= high)).select("e", "t", F.xxhash64("cls").alias("c"), "n", short.alias("f"), order.alias("o"))
+    head = lambda more: F.array_sort(F.transform(F.slice("o", 1, (F.floor(F.col("n") * share) + size + more).cast("int")), lambda x: x["b"]))
+    return ranked.select("e", "t", "c", "n", "f", head(0).alias("q"), head(1).alias("wide"))
+
+
+def _parents(size: int) -> Column:
+    """The sets of one or two bits with their hash."""
+    if size == 1:
+        return F.transform("q", lambda x: F.struct(F.xxhash64(F.lit(1), x).alias("block"), F.array(x).alias("bits")))
+    rest = lambda i: F.slice("q", i + 1, F.size("q"))
+    return F.flatten(F.transform("q", lambda x, i: F.transform(rest(i + 1), lambda y: F.struct(F.xxhash64(F.lit(2), x, y).alias("block"), F.array(x, y).alias("bits")))))
+
+
+def hot_blocks(codes: DataFrame, sketch: bytearray, share: float = SHARE) -> DataFrame | None:
+    """The blocks of long texts that would make more than ``HOT`` pairs of an evaluation and a training class,
+    or None.  Texts that share one also share another of the first ``k + size + 1`` bits, so their block
+    may be cut up by that bit and no pair is lost."""
+    parts = [_heads(codes, sketch, share, size, *KINDS[size]).select("e", "t", F.explode(_parents(size)).alias("p")) for size in (2, 1)]
+    n = parts[0].union(parts[1]).groupBy(F.col("p.block").alias("block")).agg(F.sum("e").alias("e"), F.sum("t").alias("t"))
+    hot = stage(n.where(F.col("e").cast("double") * F.col("t") > HOT).select("block"), "hot")
+    return None if hot.isEmpty() else hot
+
+
 def _within(a: list[str], b: list[str], k: int) -> bool:
     """Whether the word edit distance is at most k: furthest row per diagonal and number of edits, so
     the work grows with the distance found, not with the length times k."""
@@ -146,8 +176,9 @@ def overlaps(rows: DataFrame, id_col: str = "id", text_col: str = "text", split_
     cls = with_bits(cls.select("cls", "e", "t", "words", F.size("words").alias("n")))
     cls = stage(cls.select("*", *fold(F.col("code"))), "classes")
     sketch = frequency_sketch(cls)
-    e = blocks(cls.where("e = 1"), sketch, share).select("block", F.col("c").alias("c_e"), F.col("n").alias("n_e"), F.col("f").alias("f_e"))
-    t = blocks(cls.where("t = 1"), sketch, share).select("block", F.col("c").alias("c_t"), F.col("n").alias("n_t"), F.col("f").alias("f_t"))
+    hot = hot_blocks(cls, sketch, share)
+    e = blocks(cls.where("e = 1"), sketch, share, hot).select("block", F.col("c").alias("c_e"), F.col("n").alias("n_e"), F.col("f").alias("f_e"))
+    t = blocks(cls.where("t = 1"), sketch, share, hot).select("block", F.col("c").alias("c_t"), F.col("n").alias("n_t"), F.col("f").alias("f_t"))
     near = F.abs(F.col("n_e") - F.col("n_t")) <= F.floor(F.greatest("n_e", "n_t") * share)
     # the radius is checked on the short fold inside the join, before anything else is shuffled
     inside = F.bit_count(F.col("f_e").bitwiseXOR(F.col("f_t"))) <= 2 * F.floor(F.greatest("n_e", "n_t") * share)
