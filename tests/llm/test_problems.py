@@ -384,6 +384,22 @@ def test_6_automaton_matches_edit_distance():
             assert canonical.search(root, q, k) == {i: osa(q, w) for i, w in enumerate(words, 1) if osa(q, w) <= k}
 
 
+def test_6_nearest_is_the_least_of_all_within():
+    r = random.Random(12)
+    names = [(i, " ".join("".join(r.choice("abcd") for _ in range(r.randint(4, 8))) for _ in range(r.randint(1, 3)))) for i in range(1, 40)]
+    root = canonical.build_trie(names, True)
+    hits = 0
+    for _ in range(150):
+        v = list(r.choice(names)[1])
+        for _ in range(r.randint(0, 4)):
+            v[r.randrange(len(v))] = r.choice("abcd ")
+        every, one = canonical.within(root, "".join(v)), canonical.nearest(root, "".join(v))
+        best = min(((d, i) for i, d in every.items()), default=None)
+        assert one == ({best[1]: best[0]} if best else {})
+        hits += bool(best)
+    assert hits > 50
+
+
 def test_6_typed_values(spark):
     t = spark.createDataFrame([(1, "category", "Parcel Notice"), (2, "category", "Contest Win"), (30, "brand", "Tasefon Bank"), (31, "brand", "Tasefon Revenue Office"), (32, "brand", "Tanora Credit Union"), (33, "brand", "Kodisust"), (None, "brand", None)], "term_id long, kind string, name string")
     rows = [(1, "pARECL nOTICE!!", None, None), (2, "Win, Contest", "Tanora CU / Kenomudle Shoes", None), (3, "maybe Parcel Not1ce", "bank of tasefon,Kodisust", None), (4, "weather", "tanra", None), (5, "Parcel Notice", "Tasefon", None), (6, "", "n/a", " "), (7, None, ",", None), (1, "pARECL nOTICE!!", None, None), (8, LONG, "Tásefön Rev. Offcie (app)", None)]

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -93,6 +93,18 @@ def within(root: dict, value: str) -> dict[int, int]:
     return found
 
 
+def nearest(root: dict, value: str) -> dict[int, int]:
+    """Of ``within`` the entry of least distance and, among equals, least id: the distance is raised step by
+    step until an entry is met, so a value that is nearly right costs little."""
+    reads = [(q, spent, allowed(len(q)) - (spent > 1)) for q, spent in readings(fold(value)).items()]
+    reads = [r for r in reads if len(r[0]) - r[2] <= root["longest"]]
+    for total in range(max((spent + k for _, spent, k in reads), default=-1) + 1):
+        found = [i for q, spent, k in reads if 0 <= total - spent <= k for i in search(root["trie"], q, total - spent)]
+        if found:
+            return {min(found): total}
+    return {}
+
+
 def short_forms(word: str) -> set[str]:
     """How a word may be cut short: its beginnings, its consonants, the first and last of them."""
     if len(word) < 4:
@@ -201,11 +213,11 @@ def _tries(terms: tuple, extra: tuple) -> dict[str, dict]:
     return {k: build_trie([t[1:] for t in terms if t[0] == k], k == "brand", [t[1:] for t in extra if t[0] == k]) for k in {t[0] for t in terms}}
 
 
-def _lookup(terms: tuple, extra: tuple):
+def _lookup(terms: tuple, extra: tuple, find: Callable[[dict, str], dict[int, int]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tries = _tries(terms, extra)
         for b in batches:
-            found = [within(tries[kind], value) if kind in tries else {} for kind, value in zip(b["kind"], b["value"])]
+            found = [find(tries[kind], value) if kind in tries else {} for kind, value in zip(b["kind"], b["value"])]
             yield pd.DataFrame({"kind": b["kind"], "value": b["value"], "found": [[{"distance": d, "term_id": i} for i, d in f.items()] for f in found]})
 
     return run
@@ -234,7 +246,7 @@ def typed(reports: DataFrame, id_col: str, fields: list[str], lists: tuple[str,
     return rows.select("id", "kind", "cell", F.explode(parts).alias("value"))
 
 
-def candidates(values: DataFrame, terms: DataFrame, more: DataFrame | None = None) -> DataFrame:
+def candidates(values: DataFrame, terms: DataFrame, more: DataFrame | None = None, find: Callable[[dict, str], dict[int, int]] = within) -> DataFrame:
     """Distinct ``(kind, value)`` with ``found``: all entries within the allowed distance, as
     ``array<struct<distance, term_id>>``.  ``more(term_id, alias)`` adds aliases of entries."""
     named = terms.where("term_id is not null and name is not null and kind is not null").select("kind", "term_id", "name")
@@ -246,7 +258,7 @@ def candidates(values: DataFrame, terms: DataFrame, more: DataFrame | None = Non
     out = None
     for block in list(_blocks(listed)) or [()]:
         ids = {(k, i) for k, i, _ in block}
-        part = distinct.mapInPandas(_lookup(block, tuple(sorted(x for x in extra if x[:2] in ids))), "kind string, value string, found array<struct<distance:int,term_id:long>>")
+        part = distinct.mapInPandas(_lookup(block, tuple(sorted(x for x in extra if x[:2] in ids)), find), "kind string, value string, found array<struct<distance:int,term_id:long>>")
         out = part if out is None else out.union(part)
     if len(listed) > MAX_TERMS:
         out = out.groupBy("kind", "value").agg(F.flatten(F.collect_list("found")).alias("found"))  # one row per block
@@ -257,7 +269,7 @@ def to_terms(values: DataFrame, terms: DataFrame, more: DataFrame | None = None)
     """Distinct ``(kind, value)`` with the entry meant (0: none) and its distance (-1: none)."""
     best = F.array_min("found")
     known = F.coalesce(best["term_id"], F.lit(0)) > 0
-    return candidates(values, terms, more).select("kind", "value", F.when(known, best["term_id"]).otherwise(F.lit(0)).alias("term_id"), F.when(known, best["distance"]).otherwise(F.lit(-1)).alias("distance"))
+    return candidates(values, terms, more, nearest).select("kind", "value", F.when(known, best["term_id"]).otherwise(F.lit(0)).alias("term_id"), F.when(known, best["distance"]).otherwise(F.lit(-1)).alias("distance"))
 
 
 def unnamed(reports: DataFrame, terms: DataFrame, id_col: str = "report_id", fields: tuple[str, ...] = ("category", "brand", "scam_type")) -> DataFrame:
