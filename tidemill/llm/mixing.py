@@ -241,7 +241,8 @@ def mixture(docs: DataFrame, targets: DataFrame, size: int = BLOCK, shard: int =
 def mixed(docs: DataFrame, targets: DataFrame, **more) -> DataFrame:
     """``(shard, position, source, pass, block, ids)``: the mixture's blocks; sort by position in a shard."""
     slots, parts, _ = mixture(docs, targets, **more)
-    out = slots.join(numbered(parts, more.get("size", BLOCK)), ["source", "block"])
+    # slots are made in tasks, so the planner cannot see how many there are and must not broadcast them
+    out = slots.join(numbered(parts, more.get("size", BLOCK)).hint("merge"), ["source", "block"])
     return out.select("shard", F.xxhash64("shard", "source", "index").alias("position"), "source", "pass", "block", "ids")
 
 
