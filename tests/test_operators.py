@@ -193,6 +193,49 @@ def test_models_and_verdict(spark):
     assert got == [(True, 0.5, "x", False), (True, 0.5, None, True), (True, 0.5, None, False), (False, 0.4, None, False)]
 
 
+def test_at_threshold_equals_each_metric(spark, ten):
+    for d in (ten, ten.where("y = 1"), ten.limit(0), ten.union(spark.createDataFrame([(10, None, 0.9), (11, 1, None)], ten.schema))):
+        for t in (0.0, 0.7, 0.75, 2.0):
+            got = metrics.at_threshold(d, "y", "p", t).first()
+            assert got.auc == pytest.approx(metrics.auc(d, "y", "p").first()[0]) and got.ap == pytest.approx(metrics.average_precision(d, "y", "p").first()[0])
+            assert (got.tp, got.fp, got.tn, got.fn) == tuple(metrics.confusion(d, "y", F.col("p") >= t).first())
+
+
+def test_tfidf_by_hand(spark):
+    """Against plain Python: accents, empty texts, repeated grams, grams in fewer rows than asked for."""
+    texts = ["Ca\u0301f\u00e9 cafe CAFE win", "win a win b win", "cafe win", "", "x", "win cafe cafe", "\u4e2d\u6587 win_1 cafe"]
+    words = [["cafe", "cafe", "cafe", "win"], ["win", "win", "win"], ["cafe", "win"], [], [], ["win", "cafe", "cafe"], ["\u4e2d\u6587", "win_1", "cafe"]]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", models.tokens(F.col("text")).alias("words"))
+    assert [r.words for r in d.orderBy("id").collect()] == words
+    each = [w + [f"{a} {b}" for a, b in zip(w, w[1:])] for w in words]
+    total = {g: sum(e.count(g) for e in each) for e in each for g in e}
+    docs = {g: sum(g in e for e in each) for g in total}
+    terms = sorted((g for g in total if docs[g] >= 2), key=lambda g: (-total[g], g))
+    assert terms == ["cafe", "win", "cafe cafe", "cafe win"]
+    for size in (9, 3):
+        terms = terms[:size]
+        assert [tuple(r) for r in models.vocabulary(d, "words", size, 2).collect()] == [(g, docs[g]) for g in terms]
+        out = {r.id: r.tfidf for r in models.tfidf_fit(d, size=size, min_df=2)(d).collect()}
+        for i, e in enumerate(each):
+            x = [(1 + math.log(e.count(g))) * (math.log((1 + len(each)) / (1 + docs[g])) + 1) if g in e else 0.0 for g in terms]
+            norm = math.sqrt(sum(v * v for v in x)) or 1.0
+            assert list(out[i].toArray()) == pytest.approx([v / norm for v in x])
+
+
+def test_m2_makes_vectors_and_scores_once(spark, tmp_path):
+    """The result reads the written scores: neither the messages nor Python are in its plan, and vectors are not made for each metric."""
+    from tidemill import queries as core
+
+    r = random.Random(5)
+    rows = [(i, 0, f"{r.choice(['win cash', 'see you', 'cash prize'])} {'claim now' if i % 2 else 'at home'} {i % 7}7", i % 2) for i in range(200)] + [(1, 1, "win cash claim now 17", 1), (200, 0, None, 1), (201, 0, "no label", None)]
+    spark.createDataFrame(rows, "id long, loaded_at int, text string, scam int").write.parquet(f"{tmp_path}/messages.parquet")
+    out = core.QUERIES["m2_tfidf_arm"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "messages" not in plan and "EvalPython" not in plan and "UDF" not in plan
+    got = out.first()
+    assert got.arm == "tfidf" and got.auc > 0.95
+
+
 def test_streaming_equals_batch_and_drops_late_templates(spark, tmp_path):
     d = spark.createDataFrame([(1, "free cash now 1", "2024-01-01 00:00:00"), (2, "free cash now 2", "2024-01-01 00:01:00"), (3, "hello", "2024-01-01 00:02:00")], "id long, text string, at string").withColumn("at", F.to_timestamp("at"))
     d.write.parquet(str(tmp_path / "in"))

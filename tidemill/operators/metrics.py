@@ -50,6 +50,17 @@ def average_precision(df: DataFrame, y: str, score: str) -> DataFrame:
     return r.agg(F.try_divide(F.sum(F.col("pos") * (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))), F.sum("pos").cast("double")).alias("ap"))
 
 
+def at_threshold(df: DataFrame, y: str, score: str, threshold: float) -> DataFrame:
+    """``auc`` and ``average_precision``, and the ``confusion`` of ``score >= threshold``, from one set of running sums."""
+    r = running(score_groups(df, y, score), ["pos", "neg"], descending=True)
+    n = lambda c, over: F.coalesce(F.sum(F.when((F.col("s") >= threshold) == over, F.col(c))), F.lit(0))
+    pairs = (F.sum("pos") * F.sum("neg")).cast("double")
+    lost = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2.0))  # pairs whose negative is not below its positive, ties by half
+    ap = F.try_divide(F.sum(F.col("pos") * (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))), F.sum("pos").cast("double"))
+    counts = [n("pos", True).alias("tp"), n("neg", True).alias("fp"), n("neg", False).alias("tn"), n("pos", False).alias("fn")]
+    return r.agg(F.try_divide(pairs - lost, pairs).alias("auc"), ap.alias("ap"), *counts)
+
+
 def confusion(df: DataFrame, y: str, flag: Column) -> DataFrame:
     n = lambda c: F.count(F.when(c, 1))
     return df.agg(n((F.col(y) == 1) & flag).alias("tp"), n((F.col(y) != 1) & flag).alias("fp"), n((F.col(y) != 1) & ~flag).alias("tn"), n((F.col(y) == 1) & ~flag).alias("fn"))

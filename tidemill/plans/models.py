@@ -7,73 +7,89 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import PCA, CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..operators import metrics
+from ..session import scratch
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
-    """``weight`` = n / (classes * n of the class)."""
+    """``weight`` = n / (classes * n of the class); the classes, a few, are broadcast, so no row moves to its class."""
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     t = c.agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    return df.join(c.crossJoin(F.broadcast(t)).select(label, (F.col("_n") / (F.col("_k") * F.col("_c"))).alias("weight")), label)
+    return df.join(F.broadcast(c.crossJoin(F.broadcast(t)).select(label, (F.col("_n") / (F.col("_k") * F.col("_c"))).alias("weight"))), label)
 
 
 def unaccented(s: Column) -> Column:
-    """Lower case without accents, for vocabulary building."""
+    """Lower case without accents, for vocabulary building; plain ASCII does not pass through Python."""
     import unicodedata
 
     @F.pandas_udf("string")
     def strip(x: pd.Series) -> pd.Series:
         return x.map(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower(), na_action="ignore")
 
-    return strip(s)
+    plain = F.length(s) == F.octet_length(s)
+    return F.coalesce(strip(F.when(~plain, s)), F.lower(s))
 
 
-def tfidf(text: str = "text", size: int = 5000, min_df: int = 3) -> Pipeline:
-    """Counts of 1- and 2-grams and their document frequencies."""
-    return Pipeline(
-        stages=[
-            RegexTokenizer(inputCol=text, outputCol="_uni", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False),
-            NGram(n=2, inputCol="_uni", outputCol="_bi"),
-            SQLTransformer(statement="SELECT *, concat(_uni, _bi) AS _grams FROM __THIS__"),
-            CountVectorizer(inputCol="_grams", outputCol="_counts", vocabSize=size, minDF=min_df),
-            IDF(inputCol="_counts", outputCol="_idf"),
-        ]
-    )
+def tokens(text: Column) -> Column:
+    """Unaccented words of two characters and more, in lower case."""
+    return F.regexp_extract_all(unaccented(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
-def tfidf_fit(train: DataFrame, **more) -> Callable[[DataFrame], DataFrame]:
+def grams(words: str) -> Column:
+    """1- and 2-grams of a column of words."""
+    rest = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.concat(words, F.zip_with(F.slice(words, 1, rest), F.slice(words, 2, rest), lambda a, b: F.concat_ws(" ", a, b)))
+
+
+def vocabulary(df: DataFrame, words: str, size: int = 5000, min_df: int = 3) -> DataFrame:
+    """``(term, docs)``: of the grams in at least ``min_df`` rows the ``size`` most frequent (ties by term), and the rows they are in.
+
+    A row's grams are sorted, so that the first of equal ones counts the row: grams and rows are counted in one aggregation.
+    """
+    g = df.select(F.sort_array(grams(words)).alias("term")).select("term", F.concat(F.array(F.lit(None).cast("string")), "term").alias("before"))
+    each = g.select(F.inline(F.arrays_zip("term", "before"))).where("term is not null")
+    counts = each.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("term").eqNullSafe(F.col("before")), 1)).alias("docs"))
+    return counts.where(F.col("docs") >= min_df).orderBy(F.desc("n"), "term").limit(size).select("term", "docs")
+
+
+def tfidf_fit(train: DataFrame, words: str = "words", **more) -> Callable[[DataFrame], DataFrame]:
     """Sublinear counts (1 + ln), smoothed idf + 1, unit length: fitted on training rows only; the result
-    adds ``tfidf`` to a table.  MLlib has no sublinear counts, so sparse vectors pass through a function."""
-    fit = tfidf(**more).fit(train)
-    idf = fit.stages[-1].idf.toArray() + 1.0
+    adds ``tfidf`` to a table.  MLlib has no sublinear counts: the counts are written as the vectors' stored
+    form and read back as vectors, so whatever follows reads the table instead of making the grams again."""
+    terms = vocabulary(train, words, **more).collect()  # at most ``size`` rows
+    n = train.count()
+    counter = CountVectorizerModel.from_vocabulary([t.term for t in terms], inputCol="_grams", outputCol="_counts")
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(np.log((n + 1.0) / (np.array([t.docs for t in terms]) + 1.0)) + 1.0), inputCol="_logs", outputCol="_scaled")
+    unit = Normalizer(p=2.0, inputCol="_scaled", outputCol="tfidf")
 
-    @F.udf(VectorUDT())
-    def weigh(v):
-        x = (1.0 + np.log(v.values)) * idf[v.indices]
-        n = float(np.sqrt((x * x).sum())) or 1.0
-        return Vectors.sparse(v.size, v.indices, x / n)
+    def weigh(df: DataFrame) -> DataFrame:
+        v = counter.transform(df.withColumn("_grams", grams(words))).withColumn("_v", F.unwrap_udt("_counts"))
+        logs = F.struct("_v.type", "_v.size", "_v.indices", F.transform("_v.values", lambda x: F.lit(1.0) + F.log(x)).alias("values"))
+        kept = StructType([f for f in df.schema if f.name != words])
+        path = scratch(df.sparkSession, "tfidf")
+        v.select(*kept.names, logs.alias("_logs")).write.parquet(path)
+        logs = df.sparkSession.read.schema(StructType([*kept, StructField("_logs", VectorUDT())])).parquet(path)
+        return unit.transform(scale.transform(logs)).drop("_logs", "_scaled")
 
-    return lambda df: fit.transform(df).withColumn("tfidf", weigh("_counts")).drop("_uni", "_bi", "_grams", "_counts", "_idf")
+    return weigh
 
 
 def arm_metrics(arm: str, fitted: DataFrame, held_out: DataFrame, y: str, score: str, recall: float = 0.95) -> DataFrame:
     """One row of the result table: the threshold that keeps ``recall`` on the rows the arm was fitted on,
     and area, average precision, confusion and rates of the held-out rows under it."""
-    t = metrics.recall_threshold(fitted, y, score, recall)
-    flagged = held_out.crossJoin(F.broadcast(t))  # one row
-    c = metrics.rates(metrics.confusion(flagged, y, F.col(score) >= F.col("threshold")))
-    one = metrics.auc(held_out, y, score).select("auc").crossJoin(metrics.average_precision(held_out, y, score)).crossJoin(c).crossJoin(t)  # one row each
-    return one.select(F.lit(arm).alias("arm"), *[F.col(x) for x in ("auc", "ap", "recall", "specificity", "precision", "fp", "fn", "threshold")])
+    t = metrics.recall_threshold(fitted, y, score, recall).first()["threshold"]  # one row
+    c = metrics.rates(metrics.at_threshold(held_out, y, score, t)).withColumn("threshold", F.lit(t))
+    return c.select(F.lit(arm).alias("arm"), *[F.col(x) for x in ("auc", "ap", "recall", "specificity", "precision", "fp", "fn", "threshold")])
 
 
 def save(model, path: str, manifest: str) -> None:
